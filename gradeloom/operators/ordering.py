@@ -47,19 +47,33 @@ def block_offsets(df: DataFrame, keys: Sequence[str], levels: Sequence[str], wei
 
 
 def with_ordinal(
-    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[Column | str], out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    levels: Sequence[str],
+    order: Sequence[Column | str],
+    out: str,
+    hot: Column | None = None,
 ) -> DataFrame:
     """Add the 1-based row number within ``keys`` ordered by ``levels + order``.
 
-    ``keys`` and ``levels`` must not be null.
+    ``keys`` and ``levels`` must not be null. ``hot`` tells which rows belong to
+    groups large enough to be cut; other groups stay one block each, so the
+    table of block counts only holds the few large groups.
     """
-    offsets = block_offsets(df, keys, levels).select(*keys, *levels, "__before")
-    local = W.partitionBy(*keys, *levels).orderBy(*order)
+    if hot is None:
+        cut, staged = list(levels), df
+        offsets = block_offsets(df, keys, cut)
+    else:
+        cut = [f"__level{i}" for i in range(len(levels))]
+        staged = df.withColumns({c: F.when(hot, F.col(name)) for c, name in zip(cut, levels)})
+        offsets = block_offsets(staged.where(hot), keys, cut)
+    offsets = offsets.select(*keys, *cut, "__before")
+    local = W.partitionBy(*keys, *cut).orderBy(*(levels if hot is not None else []), *order)
     return (
-        df.withColumn("__local", F.row_number().over(local))
-        .join(offsets, [*keys, *levels])
-        .withColumn(out, (F.col("__local") + F.col("__before")).cast("bigint"))
-        .drop("__local", "__before")
+        staged.withColumn("__local", F.row_number().over(local))
+        .join(offsets, [*keys, *cut], "inner" if hot is None else "left")
+        .withColumn(out, (F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))).cast("bigint"))
+        .drop("__local", "__before", *(cut if hot is not None else []))
     )
 
 

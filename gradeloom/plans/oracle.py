@@ -143,9 +143,9 @@ qualify row_number() over (partition by qa_key order by seq desc) = 1""",
     ),
     "image_order": (
         ("review_items",),
-        """select image_key, source_json as first_source, row_idx as first_row,
-  row_number() over (order by source_json, row_idx) as image_ord
-from review_items qualify row_number() over (partition by image_key order by source_json, row_idx) = 1""",
+        """select *, row_number() over (order by first_source, first_row) as image_ord from (
+  select image_key, source_json as first_source, row_idx as first_row from review_items
+  qualify row_number() over (partition by image_key order by source_json, row_idx) = 1)""",
     ),
     "slots": (
         ("review_items", "image_order"),

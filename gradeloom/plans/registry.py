@@ -29,6 +29,8 @@ def register(name: str, sql: str | None = None, views: Sequence[str] = ()):
 
 
 def load() -> None:
+    from . import dedup_queries  # noqa: F401
     from . import evaluation_queries  # noqa: F401
     from . import fewshot_queries  # noqa: F401
     from . import prompt_queries  # noqa: F401
+    from . import review_queries  # noqa: F401
