@@ -32,5 +32,7 @@ def load() -> None:
     from . import dedup_queries  # noqa: F401
     from . import evaluation_queries  # noqa: F401
     from . import fewshot_queries  # noqa: F401
+    from . import path_queries  # noqa: F401
     from . import prompt_queries  # noqa: F401
     from . import review_queries  # noqa: F401
+    from . import source_queries  # noqa: F401
