@@ -40,6 +40,14 @@ def keyframe_grouping(spark, sf_dir):
     return dedup.keyframe_grouping(adapters.frames(spark, sf_dir), dedup.CosineMatch(THRESHOLD))
 
 
+def _consecutive(frames):
+    a = frames.select("vec_id", F.col("path").alias("a_path"), F.col("rgb_vec").alias("a_rgb"), F.col("thr_vec").alias("a_thr"))
+    b = frames.select(
+        (F.col("vec_id") - 1).alias("vec_id"), F.col("path").alias("b_path"), F.col("rgb_vec").alias("b_rgb"), F.col("thr_vec").alias("b_thr")
+    )
+    return a.join(b, "vec_id")
+
+
 @register(
     "pair_similarity",
     f"select a.path as a_path, b.path as b_path, {_MATCH.format(a='a', b='b')} as matched from frames a join frames b on b.vec_id = a.vec_id + 1",
@@ -47,12 +55,24 @@ def keyframe_grouping(spark, sf_dir):
 )
 def pair_similarity(spark, sf_dir):
     """Each frame against the one captured after it."""
-    frames = adapters.frames(spark, sf_dir)
-    a = frames.select("vec_id", F.col("path").alias("a_path"), F.col("rgb_vec").alias("a_rgb"), F.col("thr_vec").alias("a_thr"))
-    b = frames.select(
-        (F.col("vec_id") - 1).alias("vec_id"), F.col("path").alias("b_path"), F.col("rgb_vec").alias("b_rgb"), F.col("thr_vec").alias("b_thr")
-    )
-    return dedup.pair_similarity(a.join(b, "vec_id"), dedup.CosineMatch(THRESHOLD)).select("a_path", "b_path", "matched")
+    pairs = _consecutive(adapters.frames(spark, sf_dir))
+    return dedup.pair_similarity(pairs, dedup.CosineMatch(THRESHOLD)).select("a_path", "b_path", "matched")
+
+
+_BITS = "list_sum(list_transform(list_zip(a.{v}, b.{v}), lambda z: cast((z[1] > 0) <> (z[2] > 0) as int))) <= 12"
+
+
+@register(
+    "match_predicate",
+    f"""select a.path as a_path, b.path as b_path, {_BITS.format(v='rgb_vec')} or {_BITS.format(v='thr_vec')} as matched
+from frames a join frames b on b.vec_id = a.vec_id + 1""",
+    ["frames"],
+)
+def match_predicate(spark, sf_dir):
+    """Consecutive frames compared by the sign bits of their features."""
+    bits = lambda c: F.transform(c, lambda x: (x > 0).cast("int"))
+    frames = adapters.frames(spark, sf_dir).withColumn("rgb_vec", bits("rgb_vec")).withColumn("thr_vec", bits("thr_vec"))
+    return dedup.pair_similarity(_consecutive(frames), dedup.HammingMatch(12)).select("a_path", "b_path", "matched")
 
 
 @register(

@@ -328,6 +328,53 @@ def batch_inference(spark, sf_dir):
     return answered.select(*_IDS, "raw_output", "error")
 
 
+class ShortBatchRunner(infer.EchoRunner):
+    """Returns one output too few per batch, so every row is asked again alone."""
+
+    def run_batch(self, requests):
+        return super().run_batch(requests)[1:]
+
+
+@register(
+    "runner_protocol",
+    f"""with p as (select *, {_prompt("'thermal'", "true", "true")} as p from qa where coalesce(question, '') <> '')
+select source_input, row_idx, {_ECHO.format(p='p')} as raw_output, cast(null as varchar) as error from p""",
+    ["qa"],
+)
+def runner_protocol(spark, sf_dir):
+    """A runner that breaks the batch contract still gets one answer per row."""
+    rows = adapters.qa(spark, sf_dir).where(~text.is_blank(F.col("question")))
+    staged = prompts.with_prompt_parts(rows, F.lit("thermal"), F.lit(True), F.col("temp_summary"))
+    return infer.batch_inference(staged.select(*_IDS, "question", "options", "prompt"), ShortBatchRunner).select(
+        *_IDS, "raw_output", "error"
+    )
+
+
+def _load(refs):
+    """Stand-in decoder: images of one location cannot be decoded."""
+    if any("/loc_7/" in r for r in refs):
+        raise OSError("cannot decode")
+    return [r.encode() for r in refs]
+
+
+@register(
+    "image_load_errors",
+    f"""with p as (select *, {_prompt("'rgb'", "true", "false")} as p from qa where coalesce(question, '') <> '')
+select source_input, row_idx, case when rgb_path like '%/loc_7/%' then null else {_ECHO.format(p='p')} end as raw_output,
+  case when rgb_path like '%/loc_7/%' then 'OSError(''cannot decode'')' end as error from p""",
+    ["qa"],
+)
+def image_load_errors(spark, sf_dir):
+    """Rows with an undecodable image become error rows without a model call."""
+    rows = adapters.qa(spark, sf_dir).where(~text.is_blank(F.col("question")))
+    staged = prompts.with_prompt_parts(rows, F.lit("rgb"), F.lit(False), F.col("temp_summary")).withColumn(
+        "image_refs", F.array("rgb_path")
+    )
+    asked = staged.select(*_IDS, "question", "options", "prompt", "image_refs")
+    answered = infer.batch_inference(asked, infer.EchoRunner, load_images=_load, cluster_by="image_refs")
+    return answered.select(*_IDS, "raw_output", "error")
+
+
 @register(
     "evaluate_run",
     f"""with ids as (select distinct source_input, image_id from qa where image_id is not null),

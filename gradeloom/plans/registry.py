@@ -36,3 +36,4 @@ def load() -> None:
     from . import prompt_queries  # noqa: F401
     from . import review_queries  # noqa: F401
     from . import source_queries  # noqa: F401
+    from . import streaming_queries  # noqa: F401

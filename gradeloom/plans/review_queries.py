@@ -29,6 +29,12 @@ def image_key(spark, sf_dir):
     return review.with_keys(adapters.review_items(spark, sf_dir).drop("image_key", "qa_key")).select("qa_key", "image_key")
 
 
+@register("qa_key", "select source_json, row_idx, qa_key from review_items", ["review_items"])
+def qa_key(spark, sf_dir):
+    items = adapters.review_items(spark, sf_dir).drop("image_key", "qa_key")
+    return review.with_keys(items).select("source_json", "row_idx", "qa_key")
+
+
 @register(
     "label_decision",
     f"""with picks as (select *, unnest([0, 1, 2, 3]) as pick from review_items)
