@@ -37,10 +37,10 @@ def normalize_path(path: Column) -> Column:
 
     joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), push), "/")
     lead = F.when(F.regexp_like(path, F.lit("^//([^/]|$)")), "//").when(rooted, "/").otherwise("")
-    walked = F.concat(lead, joined)
+    walked = F.coalesce(F.nullif(F.concat(lead, joined), F.lit("")), F.lit("."))
     # Most paths have nothing to resolve; those skip the fold.
     messy = F.regexp_like(path, F.lit(r"^$|//|(^|/)\.{1,2}(/|$)|./$"))
-    return F.when(~messy, path).otherwise(F.when(walked == "", ".").otherwise(walked))
+    return F.when(~messy, path).otherwise(walked)
 
 
 def resolve_relative_path(path: Column, json_file: Column) -> Column:

@@ -20,11 +20,18 @@ def path_status(paths: DataFrame, inventory: DataFrame) -> DataFrame:
     ``inventory``: path and optionally ``is_dir`` and ``readable``. The reason
     is null for a usable file.
     """
-    listed = inventory.columns
+    known, reason = _listing(inventory)
+    distinct = paths.select("path").where(F.col("path").isNotNull()).distinct()
+    return distinct.join(known, "path", "left").select("path", reason.alias("reason"))
+
+
+def _listing(inventory: DataFrame) -> tuple[DataFrame, Column]:
+    """The listing with status flags, and the reason they spell after a left join."""
+    has = inventory.columns
     known = inventory.select(
         "path",
-        (F.col("is_dir") if "is_dir" in listed else F.lit(False)).alias("__dir"),
-        (F.col("readable") if "readable" in listed else F.lit(True)).alias("__ok"),
+        (F.col("is_dir") if "is_dir" in has else F.lit(False)).alias("__dir"),
+        (F.col("readable") if "readable" in has else F.lit(True)).alias("__ok"),
         F.lit(True).alias("__hit"),
     )
     reason = (
@@ -32,8 +39,7 @@ def path_status(paths: DataFrame, inventory: DataFrame) -> DataFrame:
         .when(F.col("__dir"), "not_a_file")
         .when(~F.col("__ok"), "not_readable")
     )
-    distinct = paths.select("path").where(F.col("path").isNotNull()).distinct()
-    return distinct.join(known, "path", "left").select("path", reason.alias("reason"))
+    return known, reason
 
 
 # Status words of the audit and of the migration report.
@@ -84,17 +90,30 @@ def resolved_paths(records: DataFrame) -> DataFrame:
     )
 
 
-def audit_paths(records: DataFrame, status_of) -> DataFrame:
-    """One row per bad (file, record, field).
+# Blank paths are spread over this many join keys that match nothing.
+NULL_SPREAD = 1024
 
-    ``status_of`` maps a table of paths to their status; each distinct path is
-    looked up once across all files. Blank paths never enter the join.
+
+def audit_paths(records: DataFrame, inventory: DataFrame) -> DataFrame:
+    """One row per bad (file, record, field), judged by a listing.
+
+    One pass over the records and one join; a blank path gets a key of its own.
     """
     wide = resolved_paths(records)
+    spread = F.concat(F.lit("\x00"), F.pmod(F.hash("record"), F.lit(NULL_SPREAD)).cast("string"))
+    keyed = wide.withColumn("__path", F.coalesce("resolved", spread))
+    listed, reason = _listing(inventory)
+    joined = keyed.join(listed.withColumnRenamed("path", "__path"), "__path", "left")
+    why = F.when(F.col("resolved").isNull(), "empty_path").otherwise(reason)
+    return joined.withColumn("reason", why).where(F.col("reason").isNotNull()).select(*wide.columns, "reason")
+
+
+def audit_paths_by_probe(records: DataFrame) -> DataFrame:
+    """The same by opening files; each distinct path is probed once."""
+    wide = resolved_paths(records)
     blank = wide.where(F.col("resolved").isNull()).withColumn("reason", F.lit("empty_path"))
-    given = wide.where(F.col("resolved").isNotNull())
-    status = status_of(given.select(F.col("resolved").alias("path"))).where(F.col("reason").isNotNull())
-    bad = given.join(status.select(F.col("path").alias("resolved"), "reason"), "resolved")
+    status = probe_path_status(wide.select(F.col("resolved").alias("path"))).where(F.col("reason").isNotNull())
+    bad = wide.join(status.select(F.col("path").alias("resolved"), "reason"), "resolved")
     return bad.select(*wide.columns, "reason").unionByName(blank)
 
 

@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hand an input with fewer splits than cores to all cores by hashing ``keys``.
+
+    A large table has splits enough and is left alone: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
 def _pick(index: str) -> str:
     return f"element_at({OPTIONS}, cast(({index}) as int) + 1)"
 
@@ -48,7 +61,7 @@ def _qa_columns() -> list[str]:
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_qa_columns())
+    return lineitem(spark, sf_dir).selectExpr(*_qa_columns())
 
 
 def preds_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +72,7 @@ def preds_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "when 3 then 'unknown' when 4 then 'accepted or not returned' end as raw_output"
     )
     error = f"case when {kind} = 5 then 'RuntimeError' end as error"
-    return table(spark, sf_dir, "lineitem").selectExpr(*_qa_columns(), raw, error)
+    return lineitem(spark, sf_dir).selectExpr(*_qa_columns(), raw, error)
 
 
 def run_preds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,8 +189,7 @@ def _audit(spark, sf_dir):
         "json_file", F.concat_ws(":", "source_input", F.col("row_idx").cast("string")).alias("record"),
         F.col("raw").alias("rgb_path"), "thermal_path",
     )
-    listing = adapters.files(spark, sf_dir)
-    return records, pathaudit.audit_paths(records, lambda p: pathaudit.path_status(p, listing))
+    return records, pathaudit.audit_paths(records, adapters.files(spark, sf_dir))
 
 
 @register(
