@@ -118,12 +118,14 @@ def collect_document_paths(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, txt in zip(batch["path"], batch["txt"]):
-                root = {"": json.loads(txt)}
-                rows = [(k, v) for _, _, v, k in _leaves(root) if v.startswith("/")]
-                yield pd.DataFrame(
-                    {"json_file": [file] * len(rows), "pos": range(len(rows)),
-                     "json_key": [k for k, _ in rows], "path": [v for _, v in rows]}
+            rows = [
+                (file, pos, key, value)
+                for file, txt in zip(batch["path"], batch["txt"])
+                for pos, (key, value) in enumerate(
+                    (k, v) for _, _, v, k in _leaves({"": json.loads(txt)}) if v.startswith("/")
                 )
+            ]
+            if rows:
+                yield pd.DataFrame(rows, columns=["json_file", "pos", "json_key", "path"])
 
     return docs.select("path", "txt").mapInPandas(run, "json_file string, pos bigint, json_key string, path string")

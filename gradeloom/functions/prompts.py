@@ -61,25 +61,43 @@ def number_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("N/A"))
 
 
-def build_system_context(mode: Column, temp: Column) -> Column:
-    head = F.when(mode == "rgb", DESC_RGB).when(mode == "thermal", DESC_THERMAL).otherwise(DESC_BOTH)
+def temperature_block(temp: Column) -> Column:
+    """The temperature text of a row, null without a summary."""
     pieces = [F.lit(TEMP_HEAD)]
     for field, label in TEMP_LINES:
         pieces += [F.lit(label), number_text(temp[field]), F.lit("\n")]
-    block = F.concat(*pieces, F.lit(TEMP_TAIL))
-    shown = temp.isNotNull() & _uses_thermal(mode)
-    return F.btrim(F.concat(head, F.lit("\n"), F.when(shown, block).otherwise("")), F.lit(" \n"))
+    return F.when(temp.isNotNull(), F.concat(*pieces, F.lit(TEMP_TAIL)))
+
+
+def context_of(mode: Column, block: Column) -> Column:
+    """Mode text and, unless only the first image is sent, the temperature text."""
+    head = F.when(mode == "rgb", DESC_RGB).when(mode == "thermal", DESC_THERMAL).otherwise(DESC_BOTH)
+    shown = F.when(_uses_thermal(mode), F.coalesce(block, F.lit(""))).otherwise("")
+    return F.btrim(F.concat(head, F.lit("\n"), shown), F.lit(" \n"))
+
+
+def build_system_context(mode: Column, temp: Column) -> Column:
+    return context_of(mode, temperature_block(temp))
+
+
+def question_block(question: Column, options: Column) -> Column:
+    bullets = F.array_join(F.transform(options, lambda o: F.concat(F.lit("- "), o)), "\n")
+    return F.concat(F.lit("Question: "), question, F.lit(BLANK_LINE + "Options:\n"), bullets)
+
+
+def task_of(block: Column, note: Column | None = None) -> Column:
+    return F.concat_ws(BLANK_LINE, block, *([] if note is None else [note]), F.lit(CLOSING))
+
+
+def missing_temp_note(mode: Column, no_temp: Column) -> Column:
+    return F.when(no_temp & _uses_thermal(mode), F.lit(NO_TEMP_NOTE))
 
 
 def build_task_instruction(
     question: Column, options: Column, mode: Column, temp: Column, second: bool = False
 ) -> Column:
-    bullets = F.array_join(F.transform(options, lambda o: F.concat(F.lit("- "), o)), "\n")
-    parts = [F.concat(F.lit("Question: "), question), F.concat(F.lit("Options:\n"), bullets)]
-    if second:
-        parts.append(F.when(temp.isNull() & _uses_thermal(mode), F.lit(NO_TEMP_NOTE)))
-    parts.append(F.lit(CLOSING))
-    return F.concat_ws(BLANK_LINE, *parts)
+    note = missing_temp_note(mode, temp.isNull()) if second else None
+    return task_of(question_block(question, options), note)
 
 
 def build_text_prompt(context: Column, task: Column, task_again: Column, repeat: Column) -> Column:

@@ -35,10 +35,8 @@ def plain_path(c: Column) -> Column:
 
 def scan_json_files(spark: SparkSession, path: str, recursive: bool = False, single: bool = False) -> DataFrame:
     """One row per ``.json`` file: path, name, text. ``single`` reads one file of any name."""
-    reader = spark.read.option("wholetext", True)
-    if not single:
-        reader = reader.option("pathGlobFilter", JSON_GLOB).option("recursiveFileLookup", recursive)
-    return reader.text(path).select(
+    limits = {} if single else {"pathGlobFilter": JSON_GLOB, "recursiveFileLookup": recursive}
+    return spark.read.text(path, wholetext=True, **limits).select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_name").alias("name"),
         F.col("value").alias("txt"),
