@@ -223,27 +223,36 @@ def next_pending_per_question_slot(grouped: DataFrame, decided: DataFrame) -> Da
 def align_question_across_images(grouped: DataFrame) -> DataFrame:
     """Where the same question sits in the next and the previous image.
 
-    Ordinals are dense, so the neighbour is an equi join on ``image_ord ± 1``
-    with the image's length; without the question the slot is clamped.
+    Ordinals are dense, so a neighbour is an equi join on a shifted ordinal.
+    Both directions share one aggregation and one join; without the question
+    in the neighbour the slot is clamped to its length.
     """
     qid = text.strip(F.coalesce(F.col("question_id"), F.lit("")))
-    base = grouped.select("qa_key", "image_ord", "slot", "n_items", qid.alias("qid"))
-    places = base.groupBy("image_ord", "qid").agg(F.min("slot").alias("place"))
-    lengths = base.groupBy("image_ord").agg(F.count(F.lit(1)).alias("length"))
-    out = base
-    for name, step in (("next", 1), ("prev", -1)):
-        there = F.col("image_ord") - step
-        out = out.join(
-            lengths.select(there.alias("image_ord"), F.col("length").alias("__len")), "image_ord", "left"
-        ).join(
-            places.where(F.col("qid") != "").select(there.alias("image_ord"), "qid", F.col("place").alias("__place")),
-            ["image_ord", "qid"],
-            "left",
+    base = grouped.select("qa_key", "image_ord", "slot", qid.alias("qid"))
+    places = base.groupBy("image_ord", "qid").agg(F.min("slot").alias("place"), F.max("slot").alias("last"))
+
+    def around(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+        moved = df.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("step")).withColumn(
+            "image_ord", F.col("image_ord") - F.col("step")
+        )
+        return moved.groupBy("image_ord", *keys).agg(
+            F.max(F.when(F.col("step") == 1, F.col(value))).alias(f"next_{value}"),
+            F.max(F.when(F.col("step") == -1, F.col(value))).alias(f"prev_{value}"),
         )
-        clamped = F.greatest(F.lit(0), F.least(F.col("slot"), F.col("__len") - 1))
-        target = F.when(F.col("__len").isNotNull(), F.coalesce(F.col("__place"), clamped))
-        out = out.withColumn(f"{name}_slot", target).drop("__len", "__place")
-    return out.select("qa_key", "image_ord", "slot", "next_slot", "prev_slot")
+
+    ends = around(places.groupBy("image_ord").agg(F.max("last").alias("last")), [], "last")
+    same = around(places.where(F.col("qid") != ""), ["qid"], "place")
+
+    def target(side: str) -> Column:
+        clamped = F.greatest(F.lit(0), F.least(F.col("slot"), F.col(f"{side}_last")))
+        there = F.col(f"{side}_last").isNotNull()
+        return F.when(there, F.coalesce(F.col(f"{side}_place"), clamped)).alias(f"{side}_slot")
+
+    return (
+        base.join(ends, "image_ord", "left")
+        .join(same, ["image_ord", "qid"], "left")
+        .select("qa_key", "image_ord", "slot", target("next"), target("prev"))
+    )
 
 
 # --- reports -----------------------------------------------------------------

@@ -295,7 +295,7 @@ def write_dry_run_report(spark, sf_dir):
 def write_review_snapshot(spark, sf_dir):
     """Checkpoint documents, written and resumed from."""
     path = scratch_path(spark, "snapshot")
-    sinks.export_checkpoint_json(latest(spark, sf_dir), path, "manual_eval", "2024-01-31 00:00:00", documents=8)
+    sinks.export_checkpoint_json(latest(spark, sf_dir), path, "manual_eval", "2024-01-31 00:00:00", entries=1000)
     docs = json_files.parse_documents(json_files.scan_json_files(spark, path, recursive=True))
     return json_files.read_decisions(docs).select(
         "qa_key", "label", "human_answer", "option_index", "question_id", "model_answer"

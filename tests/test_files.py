@@ -92,7 +92,7 @@ def test_jsonl_sorting(spark, tmp_path):
 def test_snapshot_round_trip(spark, folder, tmp_path):
     decisions = json_files.read_decisions(docs_of(spark, folder)).where("label is not null")
     out = str(tmp_path / "snap")
-    sinks.export_checkpoint_json(decisions, out, "run", "now", documents=3)
+    sinks.export_checkpoint_json(decisions, out, "run", "now", entries=1)
     again = json_files.read_decisions(docs_of(spark, out, recursive=True))
     key = ["qa_key", "label", "human_answer", "option_index", "question_id", "model_answer", "row_idx", "image_id"]
     assert {tuple(r) for r in again.select(key).collect()} == {tuple(r) for r in decisions.select(key).collect()}
