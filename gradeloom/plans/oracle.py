@@ -129,7 +129,7 @@ from (
   select *, options[pick + 1] as picked, event_type = 'view' or coalesce(pick < len(options), false) as ok
   from ({keyed(f'''select seq, timestamp, event_type, pick, {REVIEW_COLUMNS} from (
     select event_id as seq, strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp, event_type,
-      case event_type when 'click' then event_id % 4 when 'error' then 0 end as pick, {EVENT_KEYS} from events)''')}))""",
+      cast(case event_type when 'click' then event_id % 4 when 'error' then 0 end as int) as pick, {EVENT_KEYS} from events)''')}))""",
     ),
     "prior": (
         (),

@@ -91,7 +91,7 @@ def _collected(spark, sf_dir):
     )
 
 
-_COLLECTED = """select cast(page_id as varchar) as json_file, unnest([0, 1, 2, 3]) as pos,
+_COLLECTED = """select cast(page_id as varchar) as json_file, unnest([0, 1, 2, 3]::bigint[]) as pos,
   unnest(['assets[0].path', 'assets[1].path', 'assets[1].url', 'meta.home']) as json_key,
   unnest([rooted, home || '/index.html', '/web', home]) as path from path_docs"""
 

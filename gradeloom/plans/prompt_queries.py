@@ -115,7 +115,7 @@ _REFS = f"""case {MODE_SQL} when 'rgb' then rgb_path when 'thermal' then coalesc
 
 @register(
     "build_content_blocks",
-    f"""select source_input, row_idx, 3 + (case when {MODE_SQL} = 'rgb_thermal' and {FAMILY_SQL} <> 'llama' then 1 else 0 end)
+    f"""select source_input, row_idx, 3::bigint + (case when {MODE_SQL} = 'rgb_thermal' and {FAMILY_SQL} <> 'llama' then 1 else 0 end)
     + (case when {REPEAT_SQL} then 1 else 0 end) as n_blocks,
   md5({_context(MODE_SQL, TEMP_SQL)} || chr(9) || {_task()} || chr(9) || {_REFS}
     || case when {REPEAT_SQL} then chr(9) || {_again(MODE_SQL, TEMP_SQL)} else '' end) as blocks_md5 from qa""",
@@ -292,8 +292,8 @@ named as (select *, 'eval_' || family || '_' || model_id || '_backend-vllm_mode-
     || cast(rep as int) || '_notempsummary-' || cast(nt as int) || '_p100_seed123' as run_name,
   case family when 'pixtral' then case mode when 'rgb_thermal' then '[IMG]' || chr(10) || '[IMG]' else '[IMG]' end || chr(10) || p
     else p end as q from prompted)
-select run_name, count(*) as requests, sum(length(q)) as prompt_chars, min(md5(q)) as low_md5, max(md5(q)) as high_md5
-from named group by run_name""",
+select run_name, count(*) as requests, cast(sum(length(q)) as bigint) as prompt_chars,
+  cast(sum(('0x' || substr(md5(q), 1, 8))::bigint) as bigint) as checksum from named group by run_name""",
     ["qa", "files"],
 )
 def sweep_requests(spark, sf_dir):
@@ -302,8 +302,7 @@ def sweep_requests(spark, sf_dir):
     return requests.groupBy("run_name").agg(
         F.count(F.lit(1)).alias("requests"),
         F.sum(F.length("prompt")).alias("prompt_chars"),
-        F.min(F.md5("prompt")).alias("low_md5"),
-        F.max(F.md5("prompt")).alias("high_md5"),
+        F.sum(F.conv(F.left(F.md5("prompt"), F.lit(8)), 16, 10).cast("bigint")).alias("checksum"),
     )
 
 

@@ -221,7 +221,7 @@ def top_wrong_questions(spark, sf_dir):
 @register(
     "top_corrections",
     f"""with worst as (select question_id from ({_BY_QUESTION}) order by wrong_pct desc, evaluated desc, question_id limit 20)
-select h.question_id, mapping, n, row_number() over (partition by h.question_id order by n desc, mapping) as place
+select h.question_id, mapping, n, cast(row_number() over (partition by h.question_id order by n desc, mapping) as int) as place
 from ({_HISTOGRAM}) h join worst using (question_id)
 qualify row_number() over (partition by h.question_id order by n desc, mapping) <= 5""",
     ["latest"],

@@ -304,7 +304,7 @@ def write_review_snapshot(spark, sf_dir):
 
 @register(
     "append_action_log",
-    "select type, coalesce(label, 'none') as label, count(*) as n, sum(seq) as seq_sum from actions group by all",
+    "select type, coalesce(label, 'none') as label, count(*) as n, cast(sum(seq) as bigint) as seq_sum from actions group by all",
     ["actions"],
 )
 def append_action_log(spark, sf_dir):
