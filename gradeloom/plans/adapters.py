@@ -44,8 +44,8 @@ def _qa_columns() -> list[str]:
     stem = "concat('/data/loc_', l_orderkey % 20, '/{kind}/', lpad(cast(l_orderkey as string), 8, '0'), '.jpg')"
     return [
         "concat('file_', l_orderkey div 1000, '.json') as source_input",
-        # position key: order in the block, line, part, supplier
-        "((l_orderkey % 1000) * 10 + l_linenumber) * 100000000000000 + l_partkey * 1000000 + l_suppkey as row_idx",
+        # position key: order in the block, line, part, supplier, quantity
+        "((l_orderkey % 1000) * 10 + l_linenumber) * 100000000000000 + (l_partkey % 1000000) * 100000000 + (l_suppkey % 1000000) * 100 + cast(l_quantity as bigint) as row_idx",
         "case when l_orderkey % 97 = 0 then null else cast(l_orderkey as string) end as image_id",
         "concat('Q', l_linenumber) as question_id",
         "case when l_partkey % 101 = 0 then null else concat('CAT', l_partkey % 8) end as category",

@@ -10,7 +10,7 @@ THR = STEM.format(key="l_orderkey", kind="thr")
 
 QA_COLUMNS = f"""
   'file_' || (l_orderkey // 1000) || '.json' as source_input,
-  ((l_orderkey % 1000) * 10 + l_linenumber) * 100000000000000 + l_partkey * 1000000 + l_suppkey as row_idx,
+  ((l_orderkey % 1000) * 10 + l_linenumber) * 100000000000000 + (l_partkey % 1000000) * 100000000 + (l_suppkey % 1000000) * 100 + cast(l_quantity as bigint) as row_idx,
   case when l_orderkey % 97 = 0 then null else cast(l_orderkey as varchar) end as image_id,
   'Q' || l_linenumber as question_id,
   case when l_partkey % 101 = 0 then null else 'CAT' || (l_partkey % 8) end as category,

@@ -61,6 +61,12 @@ def test_read_shapes(spark, folder):
     assert json_files.read_eval_rows(docs).count() == 5
 
 
+def test_repeated_keys_keep_the_last(spark):
+    txt = '{"type":"checkpoint","items":{"k":{"human_answer":"a","meta":{}},"k":{"human_answer":"b","meta":{}}}}'
+    docs = json_files.parse_documents(spark.createDataFrame([("p", "n", txt)], "path string, name string, txt string"))
+    assert [(r["checkpoint_key"], r["gt_answer"]) for r in json_files.read_checkpoint(docs).collect()] == [("k", "b")]
+
+
 def test_maps_and_lists(spark, tmp_path):
     (tmp_path / "map.json").write_text(json.dumps({"/a": "/a", "/b": "/a"}))
     (tmp_path / "rest.json").write_text(json.dumps([" /b", "/b", "/c"]))
