@@ -102,6 +102,8 @@ def _entries(docs: DataFrame) -> DataFrame:
     """Checkpoint entries in document order. A map keeps the order of the text,
     which exploding the variant object would not."""
     items = F.from_json("txt", "items map<string,variant>")["items"]
+    # rebuilding the map applies the session's rule for repeated keys
+    items = F.map_from_entries(F.map_entries(items))
     return (
         docs.where(F.col("shape") == "checkpoint")
         .select("path", "name", F.posexplode(F.map_entries(items)).alias("pos", "e"))
