@@ -36,8 +36,8 @@ windows as (
 ),
 twice as (select doc_id, p from (select doc_id, p, count(*) over (partition by doc_id, win) as n from windows) where n > 1),
 covered as (
-  select doc_id, count(distinct at) as n
-  from (select doc_id, unnest(range(p, p + {quality.WINDOW})) as at from twice) group by doc_id
+  select doc_id, count(distinct pos) as n
+  from (select doc_id, unnest(range(p, p + {quality.WINDOW})) as pos from twice) group by doc_id
 ),
 m as (
   select w.doc_id, len(words)::bigint as n_words,
