@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import decontam, mixing, quality, sharding, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ m as (
     length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g'))::bigint as n_capitals,
     length(regexp_replace(text, '[^!]+', '', 'g'))::bigint as n_marks
   from (
-    select *, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w
+    select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w
   ) w left join covered c on w.doc_id = c.doc_id
 ),
 b as (select *, ({RULE_SQL})::bigint as fail_bits from m)
@@ -65,3 +65,94 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits"
     )
+
+
+@register("op3_consistent_hash_sharding")
+def op3_consistent_hash_sharding(spark, sf_dir):
+    placed = sharding.shard(table(spark, sf_dir, "documents"), sharding.Ring(shards=24))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+MIXING_SQL = rf"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    greatest({mixing.LEAST_QUALITY}, 1.0::double - 8.0::double
+      * length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>{{}}\[\]\\^~=+_]+', '', 'g'))
+      / greatest(length(coalesce(text, '')), 1)) as quality,
+    (('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '~')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+  from documents
+),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (
+  select *, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5.0::double when 1 then 2.0 else 1.0 end as weight,
+    3 * source_size::double as cap, sum(source_size) over ()::double as total
+  from s
+),
+r as (
+  select *, (total - coalesce(sum(cap) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+  from w window before as (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding)
+),
+free as (select arg_min(level, cap / weight) as level from r where level <= cap / weight),
+t as (
+  select r.source, source_size, case when cap <= 0 then 0 else least(cap, coalesce((select level from free), 'infinity'::double) * weight) end as target
+  from r
+),
+e as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t
+),
+k as (
+  select d.doc_id, d.source, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size::double as rest,
+    sum(d.size) over (partition by d.source order by -ln(u) / quality, d.doc_id rows unbounded preceding) as upto
+  from d join e on d.source is not distinct from e.source
+)
+select doc_id, size, source_size, round(target, 4) as target,
+  (size * (epochs + case when rest > 0 and 2 * upto - size <= 2 * rest then 1 else 0 end))::bigint as taken
+from k
+"""
+
+
+@register("op4_weighted_mixing", MIXING_SQL)
+def op4_weighted_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+_URL = r"""
+with u as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (
+  select page_id, url, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from u
+),
+"""
+_PREFIX = ", ".join(f"('{r.verdict}', '{r.pattern}')" for r in urlfilter.PREFIX_RULES)
+_BLOCKED = " or ".join(f"regexp_matches(host || path, '{r.regex()}')" for r in urlfilter.PATTERN_RULES)
+URL_SQL = rf"""{_URL}
+p(verdict, rule) as (values {_PREFIX}),
+f as (
+  select h.page_id, h.url, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+  from (select distinct page_id, url, host, path from h) h join p
+    on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1)))
+    and starts_with(path, substr(rule, strpos(rule, '/')))
+  group by h.page_id, h.url
+)
+select h.page_id, host, path, f.rule, coalesce(f.verdict, case when {_BLOCKED} then 'block' else 'allow' end) as verdict
+from h left join f on h.page_id is not distinct from f.page_id and h.url is not distinct from f.url
+"""
+
+
+@register("op7_url_pattern_rules", URL_SQL)
+def op7_url_pattern_rules(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark, sf_dir):
+    return decontam.findings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
