@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding, urlfilter
+from . import decontam, mixing, quality, sharding, simjoin, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,33 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+JOIN_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+),
+s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < {simjoin.SHINGLE} then [words]
+    else list_transform(range(1, len(words) - {simjoin.SHINGLE - 2}), lambda p: list_slice(words, p, p + {simjoin.SHINGLE - 1})) end) as g
+  from w
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select x, y from common join n a on a.doc_id = x join n b on b.doc_id = y where c >= {simjoin.THRESHOLD} * (a.n + b.n - c) - 1e-6
+),
+reach(doc_id, at) as (select doc_id, doc_id from documents union select r.doc_id, l.y from reach r join links l on r.at = l.x)
+select d.doc_id, (select min(at) from reach r where r.doc_id = d.doc_id) as class_id,
+  (select count(*) from links l where l.x = d.doc_id) as n_links,
+  (select count(*) from w a where len(a.words) > 0 and a.words = v.words) + case when len(v.words) = 0 then 1 else 0 end as n_copies
+from documents d join w v on v.doc_id = d.doc_id
+"""
+
+
+@register("op1_ngram_jaccard_join", JOIN_SQL)
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return simjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 # Words, windows and lines restated in SQL; r'' patterns hold for both engines.
 RULE_SQL = " + ".join(f"case when {r.fails} then {quality.BIT[r.name]} else 0 end" for r in quality.RULES)
 
