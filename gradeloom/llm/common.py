@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,25 @@ def unit_hash(*parts: Column) -> Column:
     joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
     bits = F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("bigint")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of an input sorted by ``keys``, with the bounds of the groups; a group must be bounded."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if held is None else pa.concat_tables([held, part])
+        change = np.zeros(part.num_rows - 1, dtype=bool)
+        for k in keys:
+            col = part.column(k).to_numpy()
+            change |= col[1:] != col[:-1]
+        cuts = np.flatnonzero(change) + 1
+        if not len(cuts):
+            held = part
+            continue
+        yield part.slice(0, cuts[-1]), np.concatenate([[0], cuts])
+        held = part.slice(cuts[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])

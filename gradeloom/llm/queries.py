@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding, simjoin, urlfilter
+from . import decontam, htmltext, langid, mixing, quality, sharding, simjoin, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,24 @@ def op7_url_pattern_rules(spark, sf_dir):
 @register("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontam.findings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_html_block_labeller")
+def op5_html_block_labeller(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    main = htmltext.extract(pages, htmltext.train(pages), ["page_id", "url"])
+    return main.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@register("op6_warc_index_first")
+def op6_warc_index_first(spark, sf_dir):
+    folder, index = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    read = warc.read_records(folder, index, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op8_hyperdimensional_langid")
+def op8_hyperdimensional_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    prototypes = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs, prototypes, ["doc_id", "held_out"])

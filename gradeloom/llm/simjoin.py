@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_groups
 from .components import connected_components
 
 SHINGLE = 5
@@ -156,28 +156,6 @@ def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of the sorted input with the bounds of the groups; a group is at most two chunks."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = pa.Table.from_batches([batch])
-        part = part if held is None else pa.concat_tables([held, part])
-        change = np.zeros(part.num_rows - 1, dtype=bool)
-        for k in keys:
-            col = part.column(k).to_numpy()
-            change |= col[1:] != col[:-1]
-        cuts = np.flatnonzero(change) + 1
-        if not len(cuts):
-            held = part
-            continue
-        yield part.slice(0, cuts[-1]), np.concatenate([[0], cuts])
-        held = part.slice(cuts[-1])
-    if held is not None:
-        yield held, np.array([0, held.num_rows])
-
-
 def _pairs(low: int, high: int, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if low == high:
         return np.triu_indices(len(chunk), 1)
@@ -216,7 +194,7 @@ def surviving(marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarr
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, cuts in _whole_groups(batches, ["bucket", "low", "high"]):
+    for part, cuts in whole_groups(batches, ["bucket", "low", "high"]):
         node = part.column("node").to_numpy()
         low, high, chunk = (part.column(c).to_numpy() for c in ("low", "high", "chunk"))
         marks = np.frombuffer(b"".join(part.column("marks").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
@@ -263,7 +241,7 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, cuts in _whole_groups(batches, ["family", "low", "high"]):
+    for part, cuts in whole_groups(batches, ["family", "low", "high"]):
         node, docs = part.column("node").to_numpy(), part.column("n_docs").to_numpy()
         low, high, chunk = (part.column(c).to_numpy() for c in ("low", "high", "chunk"))
         column = part.column("shingles")
