@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 300  # pages that the labeller is fitted on, about
+SAMPLE_PAGES = 400  # pages that the labeller is fitted on, about
 SAMPLE_BYTES = 200_000  # longer pages are not sampled; they are labelled like all others
 VARIANTS = 3
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 128, 24, 6
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 HIDDEN = 16
-EPOCHS = 12
+EPOCHS = 14
 BATCH_STEPS = 60_000  # blocks, padding included, that go through the network at once
 
 # How HTML elements break text.
@@ -69,7 +69,10 @@ SIDE_WRAPS = (
     "div comment list", "ol comment list", "li comment", "div comment", "div replies", "div breadcrumb", "div pagination", "div promo", "div sponsored",
     "div footer", "div header", "header site header", "footer site footer", "form search", "form login", "div widget", "div disclaimer", "div alert",
 )
-MAIN_LEAVES = ("p", "p", "p", "p", "h2", "h3", "ul li", "ol li", "blockquote", "pre", "table tr td", "div", "figure figcaption", "section p", "div p", "dl dd")
+MAIN_LEAVES = (
+    "p", "p", "p", "h2", "h3", "ul li", "ul li", "ul li", "ol li", "ol li p", "blockquote", "pre", "table tr td", "table tbody tr td", "div",
+    "figure figcaption", "section p", "div p", "dl dd", "section ul li", "div ul li",
+)
 SIDE_LEAVES = ("p", "ul li", "div", "ul li", "h3", "form", "div p", "")
 
 _SILENT = "|".join(SILENT)
@@ -294,7 +297,7 @@ def rebuilt(page: list[Block], labels: np.ndarray, others: list[str], r: np.rand
         wrap, leaf = str(r.choice(SIDE_WRAPS)), str(r.choice(SIDE_LEAVES))
         if r.random() < 0.6:
             names = r.choice(sorted(SIDE_NAMES), size=int(r.integers(1, 3)), replace=False)
-            wrap = " ".join([str(r.choice(["div", "section", "aside", "ul", "p", "span"])), *map(str, names)])
+            wrap = " ".join([str(r.choice(["div", "section", "aside", "p"])), *map(str, names)])
         path = (*inside, wrap, *leaf.split(" ")) if leaf else (*inside, wrap)
         for _ in range(int(r.integers(1, 6))):
             words = str(r.choice(others)).split(" ") if others else ["menu"]
@@ -303,13 +306,15 @@ def rebuilt(page: list[Block], labels: np.ndarray, others: list[str], r: np.rand
 
     for _ in range(int(r.integers(0, 4))):
         side(outer)
-    inside = (*outer, main_wrap)
+    inside, usual = (*outer, main_wrap), "p"
     for b, y in zip(page, labels, strict=True):
         if not y:
             continue
-        leaf = b.path[-1] if r.random() < 0.5 else str(r.choice(MAIN_LEAVES))
+        if r.random() < 0.5:
+            usual = str(r.choice(MAIN_LEAVES))  # neighbours tend to stand under the same element
+        leaf = b.path[-1] if r.random() < 0.4 else usual
         out.append((Block(b.text, (*inside, *(leaf.split(" ") if leaf in MAIN_LEAVES else (leaf,))), b.links), 1.0))
-        if r.random() < 0.08:
+        if r.random() < 0.05:
             side(inside)
     if r.random() < 0.4:
         side(inside)

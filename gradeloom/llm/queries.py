@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, mixing, quality, sharding, simjoin, urlfilter, warc
+from . import decontam, htmltext, langid, mixing, pii, quality, sharding, simjoin, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +38,8 @@ common as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b
 links as (
   select x, y from common join n a on a.doc_id = x join n b on b.doc_id = y where c >= {simjoin.THRESHOLD} * (a.n + b.n - c) - 1e-6
 ),
-reach(doc_id, at) as (select doc_id, doc_id from documents union select r.doc_id, l.y from reach r join links l on r.at = l.x)
-select d.doc_id, (select min(at) from reach r where r.doc_id = d.doc_id) as class_id,
+reach(doc_id, node) as (select doc_id, doc_id from documents union select r.doc_id, l.y from reach r join links l on r.node = l.x)
+select d.doc_id, (select min(node) from reach r where r.doc_id = d.doc_id) as class_id,
   (select count(*) from links l where l.x = d.doc_id) as n_links,
   (select count(*) from w a where len(a.words) > 0 and a.words = v.words) + case when len(v.words) = 0 then 1 else 0 end as n_copies
 from documents d join w v on v.doc_id = d.doc_id
@@ -180,7 +180,71 @@ def op7_url_pattern_rules(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-@register("op10_benchmark_decontamination")
+def _canonical(text: str) -> str:
+    """The canonical text of ``decontam`` in SQL."""
+
+    def sub(inner: str, pattern: str, to: str) -> str:
+        return f"regexp_replace({inner}, '{pattern}', '{to}', 'g')"
+
+    numbers = sub(sub(text, decontam.NUMBER, "0"), decontam.UNIT_AFTER, r"\11")
+    named = sub(numbers, decontam.OPENING, r"\12")
+    named = sub(sub(named, decontam.MID_NAME, r"\12"), decontam.MID_NAME, r"\12")
+    return _surface(named)
+
+
+def _surface(text: str) -> str:
+    return rf"lower(regexp_replace({text}, '[^\p{{L}}\p{{N}}\s]+', '', 'g'))"
+
+
+_TOKENS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+DECONTAM_SQL = rf"""
+with b as (
+  select item_id, {_TOKENS.format(_canonical("coalesce(text, '')"))} as c, {_TOKENS.format(_surface("coalesce(text, '')"))} as w from benchmark
+),
+d as (
+  select doc_id, {_TOKENS.format(_canonical("coalesce(text, '')"))} as c, {_TOKENS.format(_surface("coalesce(text, '')"))} as w from documents
+),
+bp as (
+  select item_id, c, least(len(c), {decontam.WINDOW}) as width, unnest(range(0, len(c) - least(len(c), {decontam.WINDOW}) + 1)) as ipos
+  from b where len(c) >= {decontam.MIN_LITERALS}
+),
+bw as (
+  select item_id, width, len(c) - width + 1 as n_windows, ipos, list_slice(c, ipos + 1, ipos + width) as win from bp
+  where len(list_filter(list_slice(c, ipos + 1, ipos + width), lambda t: not regexp_matches(t, '^[012]+$'))) >= {decontam.MIN_LITERALS}
+),
+dp as (
+  select doc_id, c, v.width, unnest(range(0, len(c) - v.width + 1)) as pos from d, (select distinct width from bw) v where len(c) >= v.width
+),
+hits as (
+  select doc_id, item_id, n_windows, pos - ipos as diagonal, ipos
+  from (select doc_id, width, pos, list_slice(c, pos + 1, pos + width) as win from dp) x join bw using (width, win)
+),
+runs as (select doc_id, item_id, n_windows, diagonal, list(distinct ipos) as places from hits group by all),
+slots as (
+  select distinct doc_id, item_id, diagonal, t
+  from (select doc_id, item_id, diagonal, unnest(range(p, p + {decontam.WINDOW})) as t from (select *, unnest(places) as p from runs))
+),
+pairs as (
+  select s.*, b.w[t + 1] as a, d.w[t + diagonal + 1] as v from slots s join b using (item_id) join d using (doc_id)
+  where t < len(b.c) and regexp_matches(b.c[t + 1], '^[012]+$')
+),
+kept as (
+  select r.*, coalesce(n, 0) as n from runs r left join (
+    select doc_id, item_id, diagonal, count(*) as n, count(distinct a) as x, count(distinct a || ' ' || v) as y from pairs group by all
+  ) q using (doc_id, item_id, diagonal)
+  where coalesce(x, 0) = coalesce(y, 0)
+),
+total as (
+  select doc_id, item_id, n_windows, count(distinct p) as n_matched
+  from (select doc_id, item_id, n_windows, unnest(places) as p from kept) group by all
+)
+select doc_id, item_id, n_windows, n_matched, sum(n)::bigint as n_slots
+from total join kept using (doc_id, item_id, n_windows) group by all
+having n_matched >= least({decontam.NEEDED}, ceil(n_windows / 2.0))
+"""
+
+
+@register("op10_benchmark_decontamination", DECONTAM_SQL)
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontam.findings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -192,7 +256,19 @@ def op5_html_block_labeller(spark, sf_dir):
     return main.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-@register("op6_warc_index_first")
+# Five bits of the digest at a time, out of two hex digits each.
+WARC_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+n as (select page_id, payload_bytes, h, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', h[i]) - 1) as x from p),
+f as (select h, min(page_id) as first from p group by h)
+select page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((x[5 * i // 4 + 1] * 16 + x[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31) + 1]), 'string_agg', '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to
+from n join f using (h)
+"""
+
+
+@register("op6_warc_index_first", WARC_SQL)
 def op6_warc_index_first(spark, sf_dir):
     folder, index = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
     read = warc.read_records(folder, index, payloads=False)
@@ -204,3 +280,8 @@ def op8_hyperdimensional_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     prototypes = langid.train(docs.where(~F.col("held_out")))
     return langid.predict(docs, prototypes, ["doc_id", "held_out"])
+
+
+@register("op9_weak_supervision_pii")
+def op9_weak_supervision_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -37,6 +37,7 @@ from .common import materialise, text_bytes, whole_groups
 
 FILE_BYTES = 128 << 20  # a task starts another file beyond this
 READ_BYTES = 8 << 20  # a coalesced read starts within one stretch of this length
+TASK_BYTES = 32 << 20  # bytes that one task reads, about
 READ_GAP = 64 << 10  # unselected bytes worth reading over
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -176,9 +177,11 @@ def read_records(folder: str, selected: DataFrame, payloads: bool = True) -> Dat
         .withColumn("new", new.cast("int"))
         .withColumn("stretch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     )
+    # Index rows are short, what they point at is not: the number of tasks follows the bytes to be read.
+    total = selected.agg(F.sum("length")).first()[0] or 0
     read = (
         ranges.select("file", "stretch", "offset", "length")
-        .repartition("file", "stretch")
+        .repartition(max(1, -(-total // TASK_BYTES)), "file", "stretch")
         .sortWithinPartitions("file", "stretch", "offset")
         .mapInArrow(
             _reader(folder),
