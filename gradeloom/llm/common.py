@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def whole_row(df: DataFrame, name: str = "__row") -> Column:
+    """All columns as one struct, out of the way of the names that an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

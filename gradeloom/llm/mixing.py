@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_words, materialise, unit_hash
+from .common import count_words, materialise, unit_hash, whole_row
 
 WEIGHT_CYCLE = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -116,7 +116,6 @@ def _take(narrow: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; documents without words follow their source's epochs."""
-    cols = docs.columns
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     )
@@ -126,7 +125,12 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
         .agg(F.sum(copies.cast("int")).alias("copies"), F.count(F.lit(1)).alias("n"))
     )
     once = once.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies", "n")
-    keyed = docs.select(F.struct(*cols).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__src"), count_words(F.col("text")).alias("__size"))
+    keyed = docs.select(
+        whole_row(docs),
+        F.col("doc_id").alias("__id"),
+        F.col("source").alias("__src"),
+        count_words(F.col("text")).alias("__size"),
+    )
     joined = keyed.join(
         once,
         F.col("__id").eqNullSafe(F.col("__d")) & F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")),

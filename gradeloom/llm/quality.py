@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, INK, bind, split_words
+from .common import BLANK_RUN, INK, bind, split_words, whole_row
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -140,8 +140,8 @@ def measure(text: Column) -> Column:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns but the text, the measurements (long) and ``fail_bits`` (long)."""
     own = [c for c in docs.columns if c != text and c not in (*MEASUREMENTS, "fail_bits", "__m")]
-    measured = docs.select(*[docs[c] for c in own], measure(docs[text]).alias("__m")).select(
-        *own,
+    measured = docs.select(*[F.col(f"`{c}`") for c in own], measure(F.col(text)).alias("__m")).select(
+        *[F.col(f"`{c}`") for c in own],
         F.col("__m.words.n_words").cast("bigint").alias("n_words"),
         F.col("__m.word_chars").alias("word_chars"),
         F.col("__m.n_symbols").alias("n_symbols"),
@@ -194,5 +194,5 @@ def verdicts(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def keep(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns only."""
-    led = ledger(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text")))
+    led = ledger(docs.select(whole_row(docs), "text"))
     return led.where(~rejected(policy) & ~rejected(BASE)).select("__row.*")

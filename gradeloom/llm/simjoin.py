@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_groups
+from .common import materialise, whole_groups, whole_row
 from .components import connected_components
 
 SHINGLE = 5
@@ -377,8 +377,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     blank = F.col("text").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("f"))
     first = materialise(first.select(F.col("f.k1").alias("__k1"), F.col("f.k2").alias("__k2")), "join-kept")
-    cols = docs.columns
-    keyed = docs.select(F.struct(*cols).alias("__row"), "doc_id", "text")
+    keyed = docs.select(whole_row(docs), "doc_id", "text")
     keyed = row_keys(keyed).withColumn("__blank", blank).select("__row", "k1", "k2", "__blank")
     kept = keyed.join(first, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")))
     nth = F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))
