@@ -57,6 +57,7 @@ SIDE_NAMES = frozenset(
     "popup modal newsletter subscribe social share sharing related comment comments reply replies respond breadcrumb breadcrumbs pager pagination "
     "login search widget copyright disclaimer alert toolbar dialog masthead topbar".split()
 )
+SIDE_LIST = tuple(sorted(SIDE_NAMES))
 # What the variants are built from.
 MAIN_WRAPS = (
     "article", "main", "div content", "div main content", "div post", "div post body", "div entry content", "section article body",
@@ -289,18 +290,21 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def rebuilt(page: list[Block], labels: np.ndarray, others: list[str], r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """The page with its blocks under other usual names, and boilerplate before, between and behind the main text."""
-    main_wrap = str(r.choice(MAIN_WRAPS))
+
+    def one(options):
+        return options[int(r.integers(len(options)))]
+
+    main_wrap = one(MAIN_WRAPS)
     outer = ("html", "body", *(("div page",) if r.random() < 0.3 else ()))
     out: list[tuple[Block, float]] = []
 
     def side(inside: tuple[str, ...]) -> None:
-        wrap, leaf = str(r.choice(SIDE_WRAPS)), str(r.choice(SIDE_LEAVES))
+        wrap, leaf = one(SIDE_WRAPS), one(SIDE_LEAVES)
         if r.random() < 0.6:
-            names = r.choice(sorted(SIDE_NAMES), size=int(r.integers(1, 3)), replace=False)
-            wrap = " ".join([str(r.choice(["div", "section", "aside", "p"])), *map(str, names)])
+            wrap = " ".join([one(("div", "section", "aside", "p")), *(one(SIDE_LIST) for _ in range(int(r.integers(1, 3))))])
         path = (*inside, wrap, *leaf.split(" ")) if leaf else (*inside, wrap)
         for _ in range(int(r.integers(1, 6))):
-            words = str(r.choice(others)).split(" ") if others else ["menu"]
+            words = one(others).split(" ")
             words = words[: int(r.integers(1, max(2, len(words) + 1)))]
             out.append((Block(" ".join(words), path, float(r.random() < 0.4)), 0.0))
 
@@ -311,7 +315,7 @@ def rebuilt(page: list[Block], labels: np.ndarray, others: list[str], r: np.rand
         if not y:
             continue
         if r.random() < 0.5:
-            usual = str(r.choice(MAIN_LEAVES))  # neighbours tend to stand under the same element
+            usual = one(MAIN_LEAVES)  # neighbours tend to stand under the same element
         leaf = b.path[-1] if r.random() < 0.4 else usual
         out.append((Block(b.text, (*inside, *(leaf.split(" ") if leaf in MAIN_LEAVES else (leaf,))), b.links), 1.0))
         if r.random() < 0.05:
@@ -338,7 +342,7 @@ def train(pages: DataFrame, seed: int = 5) -> Labeller | None:
     if not sample:
         return None
     r = np.random.default_rng(seed)
-    others = [b.text for page, _ in sample for b in page][:5000]
+    others = [b.text for page, _ in sample for b in page]
     ready = []
     for page, labels in sample:
         ready.append((features(page), labels))
