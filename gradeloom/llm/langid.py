@@ -7,8 +7,8 @@ language. A text gets the language whose centred prototype has the largest cosin
 with the text's centred vector; the centre is the bundle of all prototypes.
 
 Because bundling is addition, a prototype only needs the trigram counts of its
-language: they are summed over all training rows and are at most
-``SYMBOLS ** 3`` numbers per language, whatever the corpus.
+language: each text's counts are scaled to length 1, and summed over all training
+rows they are at most ``SYMBOLS ** 3`` numbers per language, whatever the corpus.
 
 Defined results: a null text or one without letters is ``und`` with score 0; rows
 with a null language or null text teach nothing; without any training row all texts
@@ -75,6 +75,11 @@ def trigrams(text: str) -> np.ndarray:
     return (s[:-2] << 12) | (s[1:-1] << 6) | s[2:]
 
 
+def weights(n: np.ndarray) -> np.ndarray:
+    """Trigram counts of one text as a vector of length 1, in thousandths: no text rules its language."""
+    return np.rint(1000 * n / np.sqrt(max(1, (n * n).sum()))).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts per language of one task; a row per language and trigram seen."""
     counts: dict[str, np.ndarray] = {}
@@ -83,7 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lang not in counts:
                 counts[lang] = np.zeros(SYMBOLS**3, dtype=np.int64)
             code, n = np.unique(trigrams(text), return_counts=True)
-            counts[lang][code] += n
+            counts[lang][code] += weights(n)
     for lang, n in counts.items():
         code = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
