@@ -47,19 +47,54 @@ def _get(v: Column | str, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+ROOT = "type string, items map<string,variant>, results array<variant>, __bad string"
+
+
+def _last_of_each_key(items: Column) -> Column:
+    """Entries of a map that may repeat keys: the last value at the place of the first, as in a dict."""
+
+    def of(entries: Column) -> Column:
+        def ends(order: Column) -> Column:
+            firsts = F.filter(order, lambda x, i: F.coalesce(F.get(order, i - 1)["k"] != x["k"], F.lit(True)))
+            lasts = F.filter(order, lambda x, i: F.coalesce(F.get(order, i + 1)["k"] != x["k"], F.lit(True)))
+            return F.sort_array(F.zip_with(firsts, lasts, lambda a, z: F.struct(a["i"].alias("a"), z["i"].alias("z"))))
+
+        keys = F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i")))
+        places = F.transform(F.array(F.sort_array(keys)), ends)[0]
+        again = F.transform(places, lambda p: F.get(entries, p["z"]))
+        names = F.transform(entries, lambda e: e["key"])
+        return F.when(F.size(F.array_distinct(names)) < F.size(entries), again).otherwise(entries)
+
+    return F.transform(F.array(F.map_entries(items)), of)[0]
+
+
 def parse_documents(files: DataFrame) -> DataFrame:
-    """Add ``v`` (null for malformed text) and ``shape``."""
-    parsed = files.withColumn("v", F.try_parse_json("txt"))
-    v = F.col("v")
-    is_map = _get(_get(v, "$.items", "variant"), "$", "map<string,variant>").isNotNull()
+    """Add ``doc`` and ``shape``; one pass over the text.
+
+    Only the top level is typed, every record is a ``VARIANT`` of its own, so the
+    size limit of one value holds per record and not per document. What can't be read is
+    ``malformed``, and ``quarantine_bad_files`` has a row for it. Repeated keys: the last one
+    counts; for keys inside a record the session is told so here.
+    """
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    opener = F.left(F.ltrim(F.col("txt"), F.lit(" \t\r\n\ufeff")), F.lit(1))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    doc = F.struct(
+        opener.alias("opener"),
+        F.when(opener == "[", F.from_json("txt", "array<variant>")).alias("list"),
+        F.when(opener == "{", F.from_json("txt", ROOT, options)).alias("root"),
+    )
+    d, root = F.col("doc"), F.col("doc.root")
     shape = (
-        F.when(v.isNull(), "malformed")
-        .when((_get(v, "$.type", "string") == "checkpoint") & is_map, "checkpoint")
-        .when(_get(v, "$", "array<variant>").isNotNull(), "list")
-        .when(_get(v, "$.results", "array<variant>").isNotNull(), "results")
+        F.when(d["opener"] == "[", F.when(d["list"].isNotNull(), "list").otherwise("malformed"))
+        .when(d["opener"] == "{", F.when((root["type"] == "checkpoint") & root["items"].isNotNull(), "checkpoint")
+            .when(root["results"].isNotNull(), "results")
+            .when(root["__bad"].isNotNull() & F.json_object_keys("txt").isNull(), "malformed")
+            .otherwise("other"))
+        .when(F.try_parse_json("txt").isNull(), "malformed")
         .otherwise("other")
     )
-    return parsed.withColumn("shape", shape)
+    return files.withColumn("doc", doc).withColumn("shape", shape)
 
 
 def quarantine_bad_files(docs: DataFrame, accepted: tuple[str, ...] = ("checkpoint", "list", "results")) -> DataFrame:
@@ -99,14 +134,11 @@ def _row_fields(v: str) -> list[Column]:
 
 
 def _entries(docs: DataFrame) -> DataFrame:
-    """Checkpoint entries in document order. A map keeps the order of the text,
-    which exploding the variant object would not."""
-    items = F.from_json("txt", "items map<string,variant>")["items"]
-    # rebuilding the map applies the session's rule for repeated keys
-    items = F.map_from_entries(F.map_entries(items))
+    """Checkpoint entries in document order."""
+    entries = _last_of_each_key(F.col("doc.root.items"))
     return (
         docs.where(F.col("shape") == "checkpoint")
-        .select("path", "name", F.posexplode(F.map_entries(items)).alias("pos", "e"))
+        .select("path", "name", F.posexplode(entries).alias("pos", "e"))
         .select("path", "name", F.col("pos").cast("bigint").alias("row_idx"), F.col("e.key").alias("checkpoint_key"), F.col("e.value").alias("entry"))
         .where(_is_object("entry"))
         .withColumn("meta", _get("entry", "$.meta", "variant"))
@@ -143,9 +175,7 @@ def read_decisions(docs: DataFrame) -> DataFrame:
 
 
 def _records(docs: DataFrame, *shapes: str) -> DataFrame:
-    rows = F.when(F.col("shape") == "list", _get("v", "$", "array<variant>")).otherwise(
-        _get("v", "$.results", "array<variant>")
-    )
+    rows = F.when(F.col("shape") == "list", F.col("doc.list")).otherwise(F.col("doc.root.results"))
     return (
         docs.where(F.col("shape").isin(*shapes))
         .select("path", "name", F.posexplode(rows).alias("pos", "r"))
