@@ -7,21 +7,35 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Numbers beyond this many digits do not fit DECIMAL(38,0).
-MAX_DIGITS = 38
-
-
 def frame_sort_key(image_id: Column, is_header: Column) -> Column:
-    """``struct(rank, frame)``: header rows, numbered frames, then the rest."""
+    """``struct(rank, width, digits, frame)``: header rows, numbered frames, then the rest.
+
+    Numbers of any length: they sort by sign and number of digits (``width``),
+    then by ``digits``, the text that orders numbers of one width; ``frame`` is the plain number.
+    """
     text = strip(F.coalesce(image_id, F.lit("")))
     whole = F.regexp_extract(text, r"^([+-]?\d+(?:_\d+)*)$", 1)
     last = F.regexp_extract(F.coalesce(image_id, F.lit("")), r"(\d+)\D*$", 1)
     digits = F.when(whole != "", F.replace(whole, F.lit("_"), F.lit(""))).otherwise(last)
-    number = digits.try_cast(f"decimal({MAX_DIGITS},0)")
+    size = F.regexp_replace(F.regexp_replace(digits, "^[+-]", ""), "^0+", "")
+    negative = F.startswith(digits, F.lit("-")) & (size != "")
+    # a larger size is a smaller number below zero
+    ordered = F.when(negative, F.translate(size, "0123456789", "9876543210")).otherwise(size)
+    width = F.length(size) * F.when(negative, -1).otherwise(1)
+    plain = F.when(size == "", "0").when(negative, F.concat(F.lit("-"), size)).otherwise(size)
+
+    def key(rank: int, width: Column, digits: Column, frame: Column) -> Column:
+        return F.struct(
+            F.lit(rank).alias("rank"),
+            width.cast("int").alias("width"),
+            digits.cast("string").alias("digits"),
+            frame.cast("string").alias("frame"),
+        )
+
     return (
-        F.when(is_header, F.struct(F.lit(-1).alias("rank"), F.lit(-1).cast(f"decimal({MAX_DIGITS},0)").alias("frame")))
-        .when(digits != "", F.struct(F.lit(0).alias("rank"), number.alias("frame")))
-        .otherwise(F.struct(F.lit(1).alias("rank"), F.lit(None).cast(f"decimal({MAX_DIGITS},0)").alias("frame")))
+        F.when(is_header, key(-1, F.lit(0), F.lit(""), F.lit("-1")))
+        .when(digits != "", key(0, width, ordered, plain))
+        .otherwise(key(1, F.lit(0), F.lit(""), F.lit(None)))
     )
 
 

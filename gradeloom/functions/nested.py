@@ -90,10 +90,30 @@ def _leaves_of(holder, slot, value, key):
         yield from _leaves(value, key)
 
 
+def _parsed(txt: str | None) -> dict | None:
+    """The document below one key, so that its root can be replaced; None if it is not JSON."""
+    try:
+        return {"": json.loads(txt)} if txt is not None else None
+    except ValueError:
+        return None
+
+
+def unreadable_documents(docs: DataFrame) -> DataFrame:
+    """``json_file`` of the documents whose text is not JSON."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = [p for p, t in zip(batch["path"], batch["txt"]) if _parsed(t) is None]
+            yield pd.DataFrame({"json_file": pd.Series(bad, dtype=object)})
+
+    return docs.select("path", "txt").mapInPandas(run, "json_file string")
+
+
 def rewrite_documents(docs: DataFrame, old: str, new: str) -> DataFrame:
     """``(path, txt, changed)`` for documents without a declared schema.
 
-    Unchanged documents keep their text as it is.
+    Unchanged documents keep their text as it is, and so do texts that are not
+    JSON: ``json_files.quarantine_bad_files`` names those.
     """
     old, new = clean_prefix(old), new.strip().rstrip("/")
 
@@ -101,7 +121,7 @@ def rewrite_documents(docs: DataFrame, old: str, new: str) -> DataFrame:
         for batch in batches:
             texts, counts = [], []
             for txt in batch["txt"]:
-                root, changed = {"": json.loads(txt)}, 0
+                root, changed = _parsed(txt) or {}, 0
                 for holder, slot, value, _ in list(_leaves(root)):
                     if value == old or value.startswith(old + "/"):
                         holder[slot] = new + value[len(old) :]
@@ -114,7 +134,7 @@ def rewrite_documents(docs: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def collect_document_paths(docs: DataFrame) -> DataFrame:
-    """``(json_file, pos, json_key, path)`` for documents without a schema."""
+    """``(json_file, pos, json_key, path)`` for documents without a schema; none for a text that is not JSON."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,7 +142,7 @@ def collect_document_paths(docs: DataFrame) -> DataFrame:
                 (file, pos, key, value)
                 for file, txt in zip(batch["path"], batch["txt"])
                 for pos, (key, value) in enumerate(
-                    (k, v) for _, _, v, k in _leaves({"": json.loads(txt)}) if v.startswith("/")
+                    (k, v) for _, _, v, k in _leaves(_parsed(txt) or {}) if v.startswith("/")
                 )
             ]
             if rows:

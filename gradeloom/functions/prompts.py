@@ -58,7 +58,18 @@ def image_count(family: Column, mode: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("N/A"))
+    """A double in its shortest form: plain between 1e-4 and 1e16, else like ``1e-05``."""
+    text, size = c.cast("string"), F.abs(c)
+    plain = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    head = F.regexp_replace(F.regexp_extract(text, "^([^E]+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(text, "E(-?)([0-9]+)$", 2)
+    sign = F.when(F.regexp_extract(text, "E(-?)", 1) == "-", "-").otherwise("+")
+    short = F.concat(head, F.lit("e"), sign, F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    shown = (
+        F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+    )
+    return F.coalesce(shown, F.lit("N/A"))
 
 
 def temperature_block(temp: Column) -> Column:

@@ -7,12 +7,15 @@ map-side-combined aggregation and only sort inside a block.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # 3 hex digits: up to 4096 blocks per group.
 HASH_BLOCK_DIGITS = 3
 
@@ -46,6 +49,40 @@ def block_offsets(df: DataFrame, keys: Sequence[str], levels: Sequence[str], wei
     return out
 
 
+def refuse_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df``; a null in one of ``columns`` fails the job, for a join on it would lose the row."""
+    return df.withColumns(
+        {
+            c: F.coalesce(F.col(c), F.raise_error(F.lit(f"{c} must not be null")).cast(df.schema[c].dataType))
+            for c in columns
+        }
+    )
+
+
+def global_ordinal(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add the 1-based position of every row of ``df`` in the order of the columns ``order``.
+
+    Rows are cut into ranges of the order, written below the shared folder and
+    numbered inside their range; only one count per range meets at the driver.
+    ``order`` should tell rows apart, so that ranges can be even; nulls come first.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranges")
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    staged = spark.read.schema(ranged.schema).parquet(path)
+    counts = sorted((r["__part"], r["n"]) for r in staged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = itertools.accumulate((n for _, n in counts), initial=0)
+    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "__part int, __before bigint")
+    local = W.partitionBy("__part").orderBy(*order)
+    return (
+        staged.withColumn("__local", F.row_number().over(local))
+        .join(F.broadcast(offsets), "__part")
+        .withColumn(out, F.col("__local") + F.col("__before"))
+        .drop("__part", "__local", "__before")
+    )
+
+
 def with_ordinal(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,10 +93,11 @@ def with_ordinal(
 ) -> DataFrame:
     """Add the 1-based row number within ``keys`` ordered by ``levels + order``.
 
-    ``keys`` and ``levels`` must not be null. ``hot`` tells which rows belong to
+    A null in ``keys`` or ``levels`` is an error. ``hot`` tells which rows belong to
     groups large enough to be cut; other groups stay one block each, so the
     table of block counts only holds the few large groups.
     """
+    df = refuse_nulls(df, [*keys, *levels])
     if hot is None:
         cut, staged = list(levels), df
         offsets = block_offsets(df, keys, cut)
@@ -86,6 +124,7 @@ def exact_k(
     ranked inside its block.
     """
     keys = list(keys)
+    df = refuse_nulls(df, [*keys, digest])
     blocked = df.withColumn("__blk", hash_block(F.col(digest)))
     offsets = block_offsets(blocked, keys, ["__blk"])
     total = F.sum("__n").over(W.partitionBy(*keys))

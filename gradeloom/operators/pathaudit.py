@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import stat
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from ..functions.paths import resolve_relative_path
+from ..sources.json_files import READ_KEY, UNREADABLE
 
 PATH_FIELDS = ("rgb_path", "thermal_path")
 
@@ -28,10 +31,10 @@ def path_status(paths: DataFrame, inventory: DataFrame) -> DataFrame:
 def _listing(inventory: DataFrame) -> tuple[DataFrame, Column]:
     """The listing with status flags, and the reason they spell after a left join."""
     has = inventory.columns
-    known = inventory.select(
-        "path",
-        (F.col("is_dir") if "is_dir" in has else F.lit(False)).alias("__dir"),
-        (F.col("readable") if "readable" in has else F.lit(True)).alias("__ok"),
+    # a listing may repeat a path: a file wins over a folder, readable over not
+    known = inventory.groupBy("path").agg(
+        F.min(F.col("is_dir") if "is_dir" in has else F.lit(False)).alias("__dir"),
+        F.max(F.col("readable") if "readable" in has else F.lit(True)).alias("__ok"),
         F.lit(True).alias("__hit"),
     )
     reason = (
@@ -50,11 +53,13 @@ NOT_READABLE = ("not_readable", "permission denied (not readable)")
 
 
 def _probe(path: str) -> tuple[str | None, str | None]:
-    if not os.path.exists(path):
+    try:
+        mode = os.stat(path).st_mode
+    except (OSError, ValueError):
         return MISSING
-    if os.path.isdir(path):
+    if stat.S_ISDIR(mode):
         return DIRECTORY
-    if not os.path.isfile(path):
+    if not stat.S_ISREG(mode):
         return NOT_REGULAR
     if not os.access(path, os.R_OK):
         return NOT_READABLE
@@ -134,6 +139,25 @@ def path_update_summary(changes: DataFrame) -> DataFrame:
     )
 
 
+def validate_document_paths(docs: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """``(json_file, json_key, path, reason)`` of all paths in documents that cannot be used.
+
+    Each path counts once per file, under the first key that holds it. A text that
+    is not JSON gives one row of its own and stops nothing. Without an
+    ``inventory`` the paths are probed.
+    """
+    found = first_path_occurrence(nested.collect_document_paths(docs))
+    if inventory is None:
+        status = probe_path_status(found).select("path", F.col("detail").alias("reason"))
+    else:
+        status = path_status(found, inventory)
+    bad = found.join(status.where(F.col("reason").isNotNull()), "path").select("json_file", "json_key", "path", "reason")
+    unread = nested.unreadable_documents(docs).select(
+        "json_file", F.lit(READ_KEY).alias("json_key"), F.lit("<n/a>").alias("path"), F.lit(UNREADABLE).alias("reason")
+    )
+    return bad.unionByName(unread)
+
+
 def first_path_occurrence(found: DataFrame) -> DataFrame:
     """Each path once per file with the first key that holds it."""
     return found.groupBy("json_file", "path").agg(F.min_by("json_key", "pos").alias("json_key"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.choice import LABEL_CORRECT, LABEL_CORRECTED, decided_answer
-from .ordering import with_ordinal
+from .ordering import global_ordinal, with_ordinal
 
 # Rows of one file or one image beyond this many are ranked block by block.
 BLOCK_ROWS = 65536
@@ -33,11 +33,10 @@ def with_keys(items: DataFrame) -> DataFrame:
 # --- image and question order -------------------------------------------------
 
 
-def image_order(items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def image_order(items: DataFrame) -> DataFrame:
     """One row per image: first place it was seen, its items, and its ordinal.
 
-    Ordinals follow (file, position). Files are the outer blocks and runs of
-    positions the inner ones, so no task sorts all images.
+    Ordinals follow (file, position).
     """
     first = F.min(F.struct("source_json", "row_idx"))
     images = items.groupBy("image_key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_items"))
@@ -46,9 +45,8 @@ def image_order(items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         "n_items",
         F.col("first.source_json").alias("first_source"),
         F.col("first.row_idx").alias("first_row"),
-        F.floor(F.col("first.row_idx") / block_rows).alias("__block"),
     )
-    return with_ordinal(placed, [], ["first_source", "__block"], ["first_row"], "image_ord").drop("__block")
+    return global_ordinal(placed, ["first_source", "first_row", "image_key"], "image_ord")
 
 
 def group_by_image(items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -56,7 +54,7 @@ def group_by_image(items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     Questions are ordered by category, question id and position.
     """
-    images = image_order(items, block_rows).select("image_key", "image_ord", "n_items")
+    images = image_order(items).select("image_key", "image_ord", "n_items")
     placed = items.join(images, "image_key").withColumn("__block", F.floor(F.col("row_idx") / block_rows))
     ranked = with_ordinal(
         placed, ["image_key"], ["category", "question_id", "__block"], ["row_idx", "source_json"], "slot",

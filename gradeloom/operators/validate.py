@@ -39,15 +39,16 @@ def _with_exists(rows: DataFrame, path: str, inventory: DataFrame, out: str) ->
     """Left join on a path; absent paths get spread keys that match nothing."""
     spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("source_input", "row_idx"), F.lit(NULL_SPREAD)).cast("string"))
     keyed = rows.withColumn("__path", F.when(is_blank(F.col(path)), spread).otherwise(F.col(path)))
-    known = inventory.select(F.col("path").alias("__path"), F.lit(True).alias(out))
+    # a listing may repeat a path; the distinct shuffles by the key of the join
+    known = inventory.select(F.col("path").alias("__path"), F.lit(True).alias(out)).distinct()
     return keyed.join(known, "__path", "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("__path")
 
 
 def join_file_inventory(rows: DataFrame, inventory: DataFrame, mode: str) -> DataFrame:
     """Fields first, then files: ``skip_reason`` is null for eligible rows.
 
-    ``inventory`` has one row per existing path. Only the columns a mode needs
-    are joined.
+    ``inventory`` lists the existing paths. Only the columns a mode needs are
+    joined.
     """
     out = required_fields_filter(rows, mode)
     found = F.lit(True)
@@ -88,13 +89,21 @@ def first_exceptions(scored: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def eligibility_summary(checked: DataFrame) -> DataFrame:
-    """One row of dry-run counters, also for an empty queue."""
+def eligibility_summary(checked: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row of dry-run counters, also for an empty queue.
+
+    ``files`` has the ``path`` of every file found, so that empty, malformed and
+    unsampled files count as discovered; without it the files of the queue count.
+    """
     reason = F.col("skip_reason")
-    return checked.agg(
+    counted = checked.agg(
         F.count_distinct("source_input").alias("json_files_discovered"),
         F.count(F.lit(1)).alias("total_sampled_questions"),
         F.count_if(reason.isNull()).alias("eligible_for_eval"),
         F.count_if(reason == MISSING_FIELDS).alias("skipped_missing_fields"),
         F.count_if(reason == MISSING_FILES).alias("skipped_missing_files"),
     )
+    if files is None:
+        return counted
+    found = files.agg(F.count_distinct("path").alias("n")).scalar()
+    return counted.withColumn("json_files_discovered", found)

@@ -231,7 +231,8 @@ def frame_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
         "case doc_id % 5 when 0 then cast(doc_id as string) when 1 then lpad(cast(doc_id as string), 8, '0') "
-        "when 2 then concat(source, '_frame_', doc_id % 100) when 3 then lang else '' end as image_id",
+        "when 2 then concat(source, '_frame_', doc_id % 100) when 3 then lang "
+        "else case when doc_id % 3 = 0 then concat(repeat('7', cast(36 + doc_id % 9 as int)), doc_id) else '' end end as image_id",
         "n_chars % 50 = 0 as is_header",
     )
 

@@ -161,7 +161,8 @@ from review_items i join image_order o using (image_key)""",
     "frame_ids": (
         (),
         """select doc_id, case doc_id % 5 when 0 then cast(doc_id as varchar) when 1 then lpad(cast(doc_id as varchar), 8, '0')
-    when 2 then source || '_frame_' || (doc_id % 100) when 3 then lang else '' end as image_id,
+    when 2 then source || '_frame_' || (doc_id % 100) when 3 then lang
+    else case when doc_id % 3 = 0 then repeat('7', (36 + doc_id % 9)::int) || doc_id else '' end end as image_id,
   n_chars % 50 = 0 as is_header from documents""",
     ),
     "image_sizes": (

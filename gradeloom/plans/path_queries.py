@@ -109,6 +109,28 @@ def collect_document_paths(spark, sf_dir):
     return nested.collect_document_paths(docs)
 
 
+@register(
+    "validate_document_paths",
+    f"""with good as (select * from ({_COLLECTED}) where cast(json_file as bigint) % 7 <> 3),
+known as (select distinct home as path from path_docs where page_id % 3 = 0 union select '/web')
+select json_file, min_by(json_key, pos) as json_key, path, 'missing' as reason from good
+where path not in (select path from known) group by json_file, path
+union all
+select cast(page_id as varchar), '<json_read>', '<n/a>', 'failed to parse/read json' from path_docs where page_id % 7 = 3""",
+    ["path_docs"],
+)
+def validate_document_paths(spark, sf_dir):
+    """Some documents lose their last character; the listing holds a part of the paths, some of them twice."""
+    pages = adapters.path_docs(spark, sf_dir)
+    txt = F.to_json("doc")
+    docs = pages.select(
+        F.col("page_id").cast("string").alias("path"),
+        F.when(F.col("page_id") % 7 == 3, F.left(txt, F.length(txt) - 1)).otherwise(txt).alias("txt"),
+    )
+    homes = pages.where("page_id % 3 = 0").select(F.col("doc.meta.home").alias("path"))
+    return pathaudit.validate_document_paths(docs, homes.unionAll(pages.select(F.lit("/web").alias("path"))))
+
+
 @register(
     "first_path_occurrence",
     f"select json_file, path, min_by(json_key, pos) as json_key from ({_COLLECTED}) group by all",
@@ -213,8 +235,8 @@ def path_audit_summary(spark, sf_dir):
 
 
 _KEY = """case when is_header and image_id = '' then -1 when regexp_matches(image_id, '[0-9]') then 0 else 1 end as key_rank,
-  case when is_header and image_id = '' then -1 when regexp_matches(image_id, '[0-9]')
-    then cast(regexp_extract(image_id, '([0-9]+)[^0-9]*$', 1) as bigint) end as key_frame"""
+  case when is_header and image_id = '' then '-1' when regexp_matches(image_id, '[0-9]')
+    then coalesce(nullif(ltrim(regexp_extract(image_id, '([0-9]+)[^0-9]*$', 1), '0'), ''), '0') end as key_frame"""
 
 
 def _header():
@@ -225,11 +247,11 @@ def _header():
 def frame_sort_key(spark, sf_dir):
     key = sort_key(F.col("image_id"), _header())
     return adapters.frame_ids(spark, sf_dir).withColumn("key", key).select(
-        "doc_id", F.col("key.rank").alias("key_rank"), F.col("key.frame").cast("bigint").alias("key_frame")
+        "doc_id", F.col("key.rank").alias("key_rank"), F.col("key.frame").alias("key_frame")
     )
 
 
-_FRAME_ORDER = f"""select doc_id, image_id, row_number() over (order by key_rank, coalesce(key_frame, -1), doc_id) as ordinal
+_FRAME_ORDER = f"""select doc_id, image_id, row_number() over (order by key_rank, length(coalesce(key_frame, '')), coalesce(key_frame, ''), doc_id) as ordinal
 from (select *, {_KEY} from frame_ids)"""
 
 

@@ -87,7 +87,7 @@ def test_jsonl_sorting(spark, tmp_path):
         F.variant_get("v", "$.prompt_template", "string").isNotNull().alias("head"),
     )
     header = F.col("head") & F.col("image_id").isNull()
-    ordered = sinks.frame_order(read, "image_id", header, "pos", block_rows=2).orderBy("ordinal").collect()
+    ordered = sinks.frame_order(read, "image_id", header, "pos").orderBy("ordinal").collect()
     assert [json.loads(r["line"]) for r in ordered] == [lines[2], lines[1], lines[4], lines[0], lines[3]]
     assert [r["ordinal"] for r in ordered] == [1, 2, 3, 4, 5]
     (tmp_path / "bad.jsonl").write_text("{}\n{x\n")
