@@ -393,3 +393,26 @@ def evaluate_run(spark, sf_dir):
         percent=0.5, repeat_prompt=True,
     )
     return scored.select(*_IDS, "pred_answer", "correct", "raw_model_output", "error")
+
+
+_IMAGE_RUN = """case when rgb_path like '%/loc_7/%' or thermal_path like '%/loc_7/%' then 'OSError(''cannot decode'')'
+  when question = '{broken}' then 'RuntimeError(''cannot answer'')' end"""
+
+
+@register(
+    "evaluate_run_images",
+    f"""with picked as (select * from checked where skip_reason is null),
+answered as (select *, {_IMAGE_RUN.format(broken=BROKEN)} as error,
+  {_ECHO.format(p=_prompt("'rgb_thermal'", 'true', 'false'))} as echo from picked)
+select source_input, row_idx, 'qwen' as model_family, 'rgb_thermal' as input_mode, rgb_path, thermal_path, question,
+  case when error is null then echo end as raw_model_output, error from answered""",
+    ["checked"],
+)
+def evaluate_run_images(spark, sf_dir):
+    """A run that loads both images of every question; those of one location cannot be decoded."""
+    scored = run_evaluation(
+        adapters.qa(spark, sf_dir), adapters.files(spark, sf_dir), lambda: infer.EchoRunner(BROKEN), load_images=_load
+    )
+    return scored.select(
+        *_IDS, "model_family", "input_mode", "rgb_path", "thermal_path", "question", "raw_model_output", "error"
+    )
