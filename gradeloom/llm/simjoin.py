@@ -42,8 +42,9 @@ BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 STEP = 8
 TOLERANCE = 1e-5
-BLOCK = 256  # nodes of one chunk
-BLOCK_SHINGLES = 400_000  # shingles of one chunk, on average
+BLOCK = 256  # nodes of one chunk of a bucket
+FAMILY_BLOCK = 128  # nodes of one chunk of a family
+BLOCK_SHINGLES = 200_000  # shingles of one chunk of a family, on average
 COLUMNS = 4096  # shingles counted at once
 PAIRS = 200_000  # pairs compared at once
 
@@ -325,7 +326,7 @@ def classes(docs: DataFrame) -> DataFrame:
     member = materialise(families.join(copies, "node"), "join-members")
     sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("mass"))
     member = member.join(materialise(sizes, "join-family-sizes"), "family")
-    cut = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("mass") / BLOCK_SHINGLES))
+    cut = F.greatest(F.ceil(F.col("m") / FAMILY_BLOCK), F.ceil(F.col("mass") / BLOCK_SHINGLES))
     wanted = member.select(F.col("rep").alias("__rep")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["__rep"]), "left_semi")
     sets = materialise(
