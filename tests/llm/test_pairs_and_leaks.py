@@ -63,6 +63,7 @@ def _corpus(seed):
 @pytest.mark.parametrize("block", [256, 3])
 def test_join_equals_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(simjoin, "BLOCK", block)
+    monkeypatch.setattr(simjoin, "FAMILY_BLOCK", block)
     texts = _corpus(block)
     df = spark.createDataFrame(_rows(texts), SCHEMA)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in simjoin.classes(df).collect()}
@@ -141,9 +142,10 @@ def test_reparameterised_questions(spark, limit):
 
 
 def test_short_items_and_empty_tables(spark):
-    docs = [(1, "we saw how the quick brown fox ran"), (2, "the slow brown fox")]
-    assert set(_found(spark, docs, [(9, "the quick brown fox")])) == {(1, 9)}
-    assert _found(spark, docs, []) == {} and _found(spark, [], [(9, "the quick brown fox")]) == {}
+    docs = [(1, "Well. Look at the quick brown fox run"), (2, "Look at the slow brown fox")]
+    items = [(9, "Look at the quick brown fox")]
+    assert set(_found(spark, docs, items)) == {(1, 9)}
+    assert _found(spark, docs, []) == {} and _found(spark, [], items) == {}
 
 
 def test_tokens_stay_aligned(spark):
