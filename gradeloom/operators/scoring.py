@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import runs as run_settings
 from ..functions.choice import parse_choice
 from ..functions.text import fill_unknown, norm_answer
 
@@ -92,10 +93,13 @@ def accuracy_all_levels(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _with_accuracy(out.where(F.col("key").isNotNull() | (F.col("level") == "overall")))
 
 
-def run_counters(checked: DataFrame, scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def run_counters(
+    checked: DataFrame, scored: DataFrame, by: Sequence[str] = (), files: DataFrame | None = None
+) -> DataFrame:
     """Queue, skip and exception counters of a run in one row (per ``by`` key).
 
-    Both inputs are reduced before they meet.
+    Both inputs are reduced before they meet. ``files`` has the ``path`` of every
+    file found, so that files without a queued row count as discovered too.
     """
     by = list(by)
     reason = F.col("skip_reason")
@@ -109,10 +113,11 @@ def run_counters(checked: DataFrame, scored: DataFrame, by: Sequence[str] = ())
         F.count(F.lit(1)).alias("evaluated"),
         F.count_if(F.col("error").isNotNull()).alias("exceptions"),
     )
+    if files is not None:
+        queue = queue.withColumn("json_files_discovered", files.agg(F.count_distinct("path").alias("n")).scalar())
     if not by:
-        queue, done = queue.withColumn("__one", F.lit(1)), done.withColumn("__one", F.lit(1))
-    joined = queue.join(done, by or ["__one"], "left").drop("__one")
-    return joined.fillna(0, ["evaluated", "exceptions"])
+        return queue.select("*", done.select(F.struct("*")).scalar().alias("__done")).select(*queue.columns, "__done.*")
+    return queue.join(done, by, "left").fillna(0, ["evaluated", "exceptions"])
 
 
 def compare_runs(metrics: DataFrame, runs: Sequence[str], baseline: str) -> DataFrame:
@@ -131,6 +136,41 @@ def compare_runs(metrics: DataFrame, runs: Sequence[str], baseline: str) -> Data
     return wide.select("*", *deltas)
 
 
+# The value of each ablation axis that the others are compared with.
+AXES = {"input_mode": run_settings.SWEEP_MODES[0], "repeat_prompt": False, "no_temp_summary": False}
+
+
+def one_axis_pairs(runs: DataFrame, axes: Mapping[str, object] = AXES) -> DataFrame:
+    """``run_name, axis, value, baseline_run``: runs of one model that differ in one axis only."""
+    pairs = None
+    for axis, base in axes.items():
+        same = ["family", "model_id", *[a for a in axes if a != axis]]
+        at_base = F.col(axis) == F.lit(base)
+        baseline = runs.where(at_base).select(*same, F.col("run_name").alias("baseline_run"))
+        found = runs.where(~at_base).join(baseline, same).select(
+            "run_name", F.lit(axis).alias("axis"), F.col(axis).cast("string").alias("value"), "baseline_run"
+        )
+        pairs = found if pairs is None else pairs.unionAll(found)
+    return pairs
+
+
+def compare_axes(metrics: DataFrame, runs: DataFrame, axes: Mapping[str, object] = AXES) -> DataFrame:
+    """Per run, axis, level and key the distance to the run that only differs in that axis.
+
+    ``metrics`` is the long form with ``run_name``, ``runs`` the table of runs. A
+    key that the baseline lacks has a null distance.
+    """
+    known = metrics.select("run_name", "level", F.coalesce("key", F.lit("")).alias("key"), "accuracy")
+    base = known.select(
+        F.col("run_name").alias("baseline_run"), "level", "key", F.col("accuracy").alias("baseline_accuracy")
+    )
+    joined = known.join(one_axis_pairs(runs, axes), "run_name").join(base, ["baseline_run", "level", "key"], "left")
+    return joined.select(
+        "run_name", "axis", "value", "baseline_run", "level", "key", "accuracy", "baseline_accuracy",
+        (F.col("accuracy") - F.col("baseline_accuracy")).alias("delta"),
+    )
+
+
 def dataset_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("total_rows"),

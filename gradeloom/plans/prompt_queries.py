@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as geometry
 from ..functions import prompts, text
-from ..operators import infer, sweep
+from ..operators import infer, scoring, sweep
+from ..session import materialise
 from . import adapters
 from .evaluate import evaluate_run as run_evaluation
+from .evaluate import sweep_evaluate as run_sweep
 from .evaluation_queries import checked
 from .oracle import norm
 from .registry import register
@@ -278,9 +280,7 @@ def ablation_grid(spark, sf_dir):
 _SWEEP_MODELS = ("qwen", "pixtral")
 
 
-@register(
-    "sweep_requests",
-    f"""with rows as (select qa.*, r.path is not null as rgb_ok, t.path is not null as thr_ok from qa
+_SWEEP = f"""with rows as (select qa.*, r.path is not null as rgb_ok, t.path is not null as thr_ok from qa
   left join files r on r.path = qa.rgb_path left join files t on t.path = qa.thermal_path
   where question <> '' and gt_answer <> ''),
 expanded as (select rows.*, f.family, f.model_id, m.mode, b.rep, n.nt from rows,
@@ -291,7 +291,12 @@ prompted as (select *, {_prompt('mode', '(not nt)', 'rep')} as p from expanded),
 named as (select *, 'eval_' || family || '_' || model_id || '_backend-vllm_mode-' || mode || '_maxside-768_maxtok-32_repeatprompt-'
     || cast(rep as int) || '_notempsummary-' || cast(nt as int) || '_p100_seed123' as run_name,
   case family when 'pixtral' then case mode when 'rgb_thermal' then '[IMG]' || chr(10) || '[IMG]' else '[IMG]' end || chr(10) || p
-    else p end as q from prompted)
+    else p end as q from prompted)"""
+
+
+@register(
+    "sweep_requests",
+    f"""{_SWEEP}
 select run_name, count(*) as requests, cast(sum(length(q)) as bigint) as prompt_chars,
   cast(sum(('0x' || substr(md5(q), 1, 8))::bigint) as bigint) as checksum from named group by run_name""",
     ["qa", "files"],
@@ -416,3 +421,73 @@ def evaluate_run_images(spark, sf_dir):
     return scored.select(
         *_IDS, "model_family", "input_mode", "rgb_path", "thermal_path", "question", "raw_model_output", "error"
     )
+
+
+# The run that the stand-in runner cannot serve.
+_DOWN = ("qwen", "thermal", True)
+
+
+class OneRunDown(infer.EchoRunner):
+    """Fails for every request of two runs of the sweep."""
+
+    def run_one(self, request):
+        if (request["family"], request["input_mode"], request["repeat_prompt"]) == _DOWN:
+            raise RuntimeError("out of memory")
+        return super().run_one(request)
+
+
+def swept(spark, sf_dir):
+    return run_sweep(
+        adapters.qa(spark, sf_dir), adapters.files(spark, sf_dir), OneRunDown, sweep.literal_grid(_SWEEP_MODELS)
+    )
+
+
+_SWEPT = f"""{_SWEEP},
+swept as (select run_name, family, mode, rep, nt, category, question_id, image_id, family = 'qwen' and mode = 'thermal' and rep as down,
+  family <> 'qwen' or mode <> 'thermal' or not rep as up, {norm('options[(length(q) % 3) + 1]')} = {norm('gt_answer')} as hit from named)"""
+
+
+@register(
+    "sweep_evaluate",
+    f"""{_SWEPT}
+select run_name, coalesce(category, 'UNKNOWN') as category, count(*) as total, count(*) filter (up and hit) as correct,
+  count(*) filter (down) as exceptions from swept group by all""",
+    ["qa", "files"],
+)
+def sweep_evaluate(spark, sf_dir):
+    """24 runs inferred and scored in one job; two of them fail and give error rows."""
+    scored = scoring.fill_unknown_ids(swept(spark, sf_dir))
+    return scored.groupBy("run_name", "category").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct"),
+        F.count_if(F.col("error").isNotNull()).alias("exceptions"),
+    )
+
+
+_AXIS = """select a.run_name, '{axis}' as axis, cast(a.{col} as varchar) as value, r.run_name as baseline_run, a.level, a.key,
+  round(a.accuracy, 6) as accuracy, round(b.accuracy, 6) as baseline_accuracy, round(a.accuracy - b.accuracy, 6) as delta
+from m a join (select distinct run_name, family, mode, rep, nt from swept) r on a.family = r.family and r.{base} and {same}
+left join m b on b.run_name = r.run_name and a.level = b.level and a.key = b.key where not (a.{base})"""
+_AXIS_LEVELS = "\nunion all\n".join(
+    f"""select run_name, family, mode, rep, nt, '{name}' as level, {key} as key, count(*) filter (up and hit) / count(*) as accuracy
+from swept group by all"""
+    for name, key in (("overall", "''"), ("category", "coalesce(category, 'UNKNOWN')"), ("question", "coalesce(question_id, 'UNKNOWN')"), ("image", "coalesce(image_id, 'UNKNOWN')"))
+)
+
+
+@register(
+    "compare_axes",
+    f"""{_SWEPT},
+m as ({_AXIS_LEVELS})
+{_AXIS.format(axis='input_mode', col='mode', base="mode = 'rgb_thermal'", same='a.rep = r.rep and a.nt = r.nt')}
+union all
+{_AXIS.format(axis='repeat_prompt', col='rep', base='rep = false', same='a.mode = r.mode and a.nt = r.nt')}
+union all
+{_AXIS.format(axis='no_temp_summary', col='nt', base='nt = false', same='a.mode = r.mode and a.rep = r.rep')}""",
+    ["qa", "files"],
+)
+def compare_axes(spark, sf_dir):
+    """Every run of the sweep next to those that differ in mode, repetition or temperature only."""
+    metrics = scoring.accuracy_all_levels(swept(spark, sf_dir), by=["run_name"])
+    table = sweep.runs_of(spark, sweep.literal_grid(_SWEEP_MODELS))
+    compared = scoring.compare_axes(materialise(metrics, "sweep-metrics"), table)
+    return compared.withColumns({c: F.round(c, 6) for c in ("accuracy", "baseline_accuracy", "delta")})
