@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import scoring
+from ..operators import fewshot, scoring, sweep
 from ..session import scratch_path
 from ..sources import images, json_files, sinks
 from . import adapters
 from .evaluation_queries import RUNS, checked, run_metrics
+from .fewshot_queries import _SELECTED, SHOTS
 from .path_queries import _FRAME_ORDER, frame_order
 from .registry import register
 from .review_queries import latest
@@ -227,16 +228,16 @@ def _run_scored(spark, sf_dir):
 @register(
     "write_predictions",
     """select run_name, count(*) as n, count(*) filter (correct) as correct, count(error) as errors, count(pred_answer) as answered
-from run_scored group by run_name""",
+from run_scored where run_name <> 'thermal' group by run_name""",
     ["run_scored"],
 )
 def write_predictions(spark, sf_dir):
-    """Written twice for one run: the second write replaces only that run."""
+    """The second write replaces one run and clears another that has no rows any more."""
     path = scratch_path(spark, "predictions")
     columns = ["run_name", "source_input", "row_idx", "question_id", "pred_answer", "correct", "raw_model_output", "error"]
     scored = _run_scored(spark, sf_dir).select(*columns)
     sinks.write_predictions(scored, path)
-    sinks.write_predictions(scored.where(F.col("run_name") == RUNS[0]), path)
+    sinks.write_predictions(scored.where(F.col("run_name") == RUNS[0]), path, runs=RUNS[:2])
     schema = scored.drop("run_name").schema.add("run_name", "string")
     return spark.read.schema(schema).json(path).groupBy("run_name").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("correct"),
@@ -244,51 +245,112 @@ def write_predictions(spark, sf_dir):
     )
 
 
+def _found_files(spark, sf_dir, rows):
+    """The files of the rows and one that holds no row."""
+    return rows.select(F.col("source_input").alias("path")).distinct().unionAll(spark.range(1).select(F.lit("empty.json").alias("path")))
+
+
+# The three stand-in runs as runs of one model.
+_RUN_SETTINGS = [(name, "qwen", "Qwen/Qwen3-VL-8B-Instruct", name, i == 1) for i, name in enumerate(RUNS)]
+
+
+def _run_settings(spark):
+    rows = spark.createDataFrame(
+        [(*r, "/in", False) for r in _RUN_SETTINGS],
+        "run_name string, family string, model_id string, input_mode string, repeat_prompt boolean, input string, dry_run boolean",
+    )
+    named = rows.withColumns({"no_temp_summary": F.lit(False), "requested_backend": F.lit("vllm"), "backend": F.lit("vllm")})
+    return sweep.run_config_json(named)
+
+
 @register(
     "write_metrics_json",
     """with c as (select run_name, coalesce(category, 'UNKNOWN') as key, count(*) as n, count(*) filter (correct) as good from run_scored group by all)
 select r.run_name, count(*) as total, count(*) filter (correct) as correct, round(count(*) filter (correct) / count(*), 6) as accuracy,
-  count(r.error) as exceptions,
+  count(r.error) as exceptions, count(*) as total_sampled_questions, count(*) as queued, count(*) as evaluated,
+  0::bigint as skipped_missing_fields, 0::bigint as skipped_missing_files,
+  (select count(distinct source_input) + 1 from run_scored) as json_files_discovered,
+  'qwen' as model_family, 'Qwen/Qwen3-VL-8B-Instruct' as model_id, r.run_name as input_mode, r.run_name = 'thermal' as repeat_prompt,
+  123::bigint as seed, '/in' as input, false as dry_run, true as has_revision, 768::bigint as max_side,
   (select string_agg(key || ':' || n || ':' || good, ',' order by key) from c where c.run_name = r.run_name) as categories
 from run_scored r group by r.run_name""",
     ["run_scored"],
 )
 def write_metrics_json(spark, sf_dir):
+    """Metrics documents read back field by field; a file without rows counts as found."""
     path = scratch_path(spark, "metrics")
     scored = _run_scored(spark, sf_dir)
     queue = adapters.run_preds(spark, sf_dir).withColumn("skip_reason", F.lit(None).cast("string"))
-    counters = scoring.run_counters(queue, scored, by=["run_name"])
-    sinks.write_documents(sinks.metrics_documents(run_metrics(spark, sf_dir), counters), path)
+    counters = scoring.run_counters(queue, scored, by=["run_name"], files=_found_files(spark, sf_dir, queue))
+    sinks.write_documents(sinks.metrics_documents(run_metrics(spark, sf_dir), counters, _run_settings(spark)), path)
     stats = "total bigint, correct bigint, accuracy double"
-    shape = f"overall struct<{stats}>, by_category map<string, struct<{stats}>>, more_info struct<exceptions: bigint>"
+    counts = (
+        "exceptions", "total_sampled_questions", "queued", "evaluated", "skipped_missing_fields", "skipped_missing_files",
+        "json_files_discovered",
+    )
+    shape = (
+        f"model_family string, model_id string, input_mode string, overall struct<{stats}>, by_category map<string, struct<{stats}>>, "
+        "run_config struct<repeat_prompt: boolean, seed: bigint, input: string, dry_run: boolean, max_side: bigint>, "
+        f"more_info struct<{', '.join(c + ': bigint' for c in counts)}>"
+    )
     d = spark.read.text(path).withColumn("d", F.from_json("value", shape))
     cats = F.array_join(
         F.transform(F.map_entries("d.by_category"), lambda e: F.concat_ws(":", e["key"], e["value"]["total"], e["value"]["correct"])), ","
     )
     return d.select(
         "run_name", "d.overall.total", "d.overall.correct", F.round("d.overall.accuracy", 6).alias("accuracy"),
-        "d.more_info.exceptions", cats.alias("categories"),
+        *[f"d.more_info.{c}" for c in counts], "d.model_family", "d.model_id", "d.input_mode",
+        *[f"d.run_config.{c}" for c in ("repeat_prompt", "seed", "input", "dry_run", "max_side")],
+        F.col("value").contains('"model_revision":null').alias("has_revision"), cats.alias("categories"),
     )
 
 
+_ICL = ("icl_queries_with_full_requested_shots", "icl_queries_with_zero_support_examples")
+
+
 @register(
     "write_dry_run_report",
-    """with m as (select rgb_path || ' ' || thermal_path as pair, source_input, row_idx from checked where skip_reason = 'missing_files'
-  order by source_input, row_idx limit 5)
+    f"""{_SELECTED}, m as (select rgb_path || ' ' || thermal_path as pair, source_input, row_idx from checked where skip_reason = 'missing_files'
+  order by source_input, row_idx limit 5),
+per as (select t.source_input, t.row_idx, count(s.pos) as used from t left join selected s using (source_input, row_idx) group by all)
 select 'dry_run_only' as status, count(*) as total_sampled_questions, count(*) filter (skip_reason is null) as eligible_for_eval,
+  count(*) filter (skip_reason = 'missing_fields') as skipped_missing_fields, count(*) filter (skip_reason = 'missing_files') as skipped_missing_files,
+  count(distinct source_input) + 1 as json_files_discovered, 'rgb' as run_name, 'qwen' as model_family,
+  (select count(*) from per where used >= {SHOTS}) as {_ICL[0]}, (select count(*) from per where used = 0) as {_ICL[1]},
   (select string_agg(pair, ';' order by source_input, row_idx) from m) as missing from checked""",
     ["checked"],
 )
 def write_dry_run_report(spark, sf_dir):
+    """The report of a run with solved examples, read back field by field."""
     path = scratch_path(spark, "dryrun")
-    sinks.dry_run_report(checked(spark, sf_dir)).write.text(path)
+    queue = checked(spark, sf_dir)
+    config = _run_settings(spark).where("run_name = 'rgb'").first()["run_config"]
+    supports = fewshot.icl_select_supports(queue, SHOTS)
+    sinks.dry_run_report(queue, 5, _found_files(spark, sf_dir, queue), config, supports, SHOTS).write.text(path)
+    counts = (
+        "total_sampled_questions", "eligible_for_eval", "skipped_missing_fields", "skipped_missing_files", "json_files_discovered", *_ICL,
+    )
     shape = (
-        "status string, summary struct<total_sampled_questions: bigint, eligible_for_eval: bigint>, "
+        f"status string, run_config struct<run_name: string, model_family: string>, summary struct<{', '.join(c + ': bigint' for c in counts)}>, "
         "sample_missing_paths array<struct<rgb_path: string, thermal_path: string>>"
     )
     d = spark.read.text(path).select(F.from_json("value", shape).alias("d"))
     pairs = F.transform("d.sample_missing_paths", lambda p: F.concat_ws(" ", p["rgb_path"], p["thermal_path"]))
-    return d.select("d.status", "d.summary.*", F.array_join(pairs, ";").alias("missing"))
+    return d.select("d.status", "d.run_config.*", "d.summary.*", F.array_join(pairs, ";").alias("missing"))
+
+
+@register(
+    "review_snapshot_version",
+    "select qa_key, label, human_answer, option_index from latest",
+    ["latest"],
+)
+def review_snapshot_version(spark, sf_dir):
+    """Two versions of a snapshot; the reader follows to the newer one."""
+    path = scratch_path(spark, "versions")
+    decided = latest(spark, sf_dir)
+    sinks.write_review_snapshot(decided.withColumn("label", F.lit("old")), path)
+    sinks.write_review_snapshot(decided, path)
+    return sinks.read_review_snapshot(spark, path).select("qa_key", "label", "human_answer", "option_index")
 
 
 @register("write_review_snapshot", "select qa_key, label, human_answer, option_index, question_id, model_answer from latest", ["latest"])
