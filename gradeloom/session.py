@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Runtime re-planning does the partition sizing and the skew splitting of joins.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +21,8 @@ DEFAULTS = {
     # settings such documents end up in quarantine.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # State per key of a stream lives on disk, not in the memory of executors.
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }

@@ -5,13 +5,15 @@ combined on the map side before the shuffle, so one busy key does not overload
 a task. Each micro-batch writes its changed rows into ``epoch=<id>`` (replaced if
 the batch is retried after a failure); the current state of a key is its row of
 the highest epoch. Checkpoints live next to the output, in a folder that all
-executors share.
+executors share. :func:`compact` folds the log so far into one table, and readers
+then only read the epochs after it. State is kept in RocksDB.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import review, scoring
 from ..schema import ACTION
+from ..session import ROCKSDB, materialise
 
 PREDICTION = T.StructType(
     [
@@ -55,21 +58,61 @@ def _sink(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _start(changes: DataFrame, out: str, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "update") -> StreamingQuery:
-    return (
-        changes.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    conf = changes.sparkSession.conf
+    # A query takes its settings when it starts; one restarted from a checkpoint keeps those it began with.
+    before = conf.get(_PROVIDER)
+    conf.set(_PROVIDER, ROCKSDB)
+    try:
+        return (
+            changes.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+    finally:
+        conf.set(_PROVIDER, before)
 
 
-def current_state(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    """Newest row per key of an update log."""
+def _compacted(out: str) -> str:
+    return f"{out.rstrip('/')}-compacted"
+
+
+def _newest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """Newest row per key, with its epoch: the last compaction and the epochs after it."""
     log = spark.read.parquet(out)
+    try:
+        folded = spark.read.parquet(_compacted(out))
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        upto = folded.agg(F.max("upto")).first()[0]
+        kept = folded.where(F.col("upto") == upto).drop("upto")
+        # both are partitions, so neither old tables nor old epochs are read
+        log = log.where(F.col("epoch") > upto).unionByName(kept)
     fields = [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*fields), "epoch").alias("s")).select(*keys, "s.*").drop("epoch")
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*fields), "epoch").alias("s")).select(*keys, "s.*")
+
+
+def compact(spark: SparkSession, out: str, keys: Sequence[str]) -> None:
+    """Fold the log up to its last epoch into one table next to it.
+
+    Run it between runs of the stream. Epochs it covers are not read again and may be
+    deleted, all but the last one.
+    """
+    last = spark.read.parquet(out).agg(F.max("epoch")).first()[0]
+    if last is not None:
+        _newest(spark, out, keys).write.mode("overwrite").parquet(f"{_compacted(out)}/upto={last}")
+
+
+def current_state(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """Newest row per key of an update log."""
+    return _newest(spark, out, keys).drop("epoch")
 
 
 def _last(fields: Sequence[str], order: str) -> Column:
@@ -121,7 +164,10 @@ def stream_propagate_labels(
     aggregates; :func:`propagated_labels` hands the seeds to the members.
     """
     grouped = review.attach_keyframe(items, group_map).where(F.col("keyframe").isNotNull())
-    seeds_of = grouped.select("qa_key", "keyframe", "question_id", "rgb_path", "model_answer")
+    # Written once, in the order of the join: a batch does not join items and groups again.
+    seeds_of = materialise(
+        grouped.select("qa_key", "keyframe", "question_id", "rgb_path", "model_answer").repartitionByRange("qa_key"), "seed-items"
+    )
     explicit = actions.where(
         (F.col("type") == "action") & ~F.coalesce(F.col("auto_propagated"), F.lit(False))
     ).select("seq", "qa_key", "label", "option_index")
