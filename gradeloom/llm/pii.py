@@ -23,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,9 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# As ``IP``: a match starts where a run of digits starts and takes whole runs, so a long run is read once.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
 SECRET = re.compile(r"[:=]\s*[\"']?([A-Za-z0-9_/+-]{16,})")
 TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme)\.?\x20+(\w[\w'-]+(?:\x20\w[\w'-]+)?)")
 NUMBER = re.compile(r"[0-9](?:[0-9().\x20-]{5,24})[0-9]")
@@ -100,7 +105,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of the strict kinds in the order of start, then kind."""
     out = [(a, z, "email") for a, z in emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
-        for m in IP.finditer(text):
+        for m in IP_RUNS.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                 out.append((*m.span(), "ip"))
         for m in CARD.finditer(text):
@@ -126,8 +131,11 @@ def added_candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple
         found += [(*m.span(1), "handle") for m in HANDLE.finditer(text)]
     out: list[tuple[int, int, str]] = []
     busy = sorted(taken)
+    starts = [s[0] for s in busy]
+    reach = list(accumulate((s[1] for s in busy), max))  # furthest end of the strict spans up to each
     for a, z, kind in sorted(found, key=lambda s: (s[0], KINDS.index(s[2]))):
-        if (not out or a >= out[-1][1]) and not any(a < y and x < z for x, y, _ in busy):
+        earlier = bisect_left(starts, z)  # strict spans that start before z
+        if (not out or a >= out[-1][1]) and not (earlier and reach[earlier - 1] > a):
             out.append((a, z, kind))
     return out
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -223,3 +224,18 @@ def test_reliabilities_follow_the_votes():
     assert rates[4, 0, 1, 2] > 0.85 and rates[4, 1, 0, 0] > 0.85
     assert abs(rates[4, 2, 1, 2] - rates[4, 2, 0, 2]) < 0.15
     assert post[(4, 2 * 9 + 2 * 3)] > 0.9 and post[(4, 2)] < 0.1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="0129.. -+@a:=AbcDefGh", max_size=60))
+def test_added_spans_keep_clear_of_strict_ones(text):
+    base = pii.base_spans(text)
+    added = pii.added_candidates(text, base)
+    assert not any(a < y and x < z for a, z, _ in added for x, y, _ in base)
+    assert all(one[1] <= two[0] for one, two in zip(added, added[1:]))
+
+
+def test_long_runs_of_digits_are_read_once():
+    start = time.perf_counter()
+    assert pii.base_spans("1" * 1_000_000 + " 10.0.0.1") == [(1_000_001, 1_000_009, "ip")]
+    assert time.perf_counter() - start < 20
