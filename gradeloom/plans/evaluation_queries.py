@@ -220,7 +220,7 @@ def accuracy_all_levels(spark, sf_dir):
 
 @register(
     "run_counters",
-    """select (select count(*) from checked) as queued,
+    """select (select count(*) from checked) as queued, (select count(*) from checked) as total_sampled_questions,
   (select count(*) from checked where skip_reason = 'missing_fields') as skipped_missing_fields,
   (select count(*) from checked where skip_reason = 'missing_files') as skipped_missing_files,
   (select count(distinct source_input) from checked) as json_files_discovered,
