@@ -11,9 +11,11 @@ windows that merely have the same shape are not.
 
 Defined results: null and blank texts hold no window; an item of fewer than eight
 tokens is searched as one window of its own length, one of fewer than
-``MIN_LITERALS`` literal tokens is not searchable; repeated rows of a document
-count once under its doc_id; a null doc_id or item_id is a key like any other; an
-empty benchmark or corpus gives no findings. Other columns are not read.
+``MIN_LITERALS`` literal tokens is not searchable; rows of equal doc_id and text are
+one document, rows that share a null or repeated id but not the text are searched
+apart, items likewise, and meet only in the finding of their ids (most matches of one
+row, slots of all); an empty benchmark or corpus gives no findings. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, bind, materialise
+from .common import BLANK_RUN, BLANKS, bind, materialise, whole_row
+from .simjoin import row_keys
+
+ROW = ("k1", "k2")  # the key of a document's row
 
 WINDOW = 8
 MIN_LITERALS = 4
@@ -83,29 +88,35 @@ def _placeholder(token: Column) -> Column:
     return token.rlike("^[012]+$")
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``item, item_id, text``: the distinct rows of the benchmark under a key."""
+    rows = benchmark.select("item_id", "text").distinct()
+    return rows.select(F.xxhash64(F.lit(1), "item_id", "text").alias("item"), "item_id", "text")
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, width, n_windows, ipos, h`` of every searchable window; repeated items count once."""
-    items = benchmark.select("item_id", "text").distinct().select("item_id", canonical_tokens(F.col("text")).alias("c"))
+    """``item, width, n_windows, ipos, h`` of every searchable window; repeated items count once."""
+    items = _items(benchmark).select("item", canonical_tokens(F.col("text")).alias("c"))
     width = F.least(F.size("c"), F.lit(WINDOW))
     hashes = F.lit(None).cast("array<bigint>")
     for w in range(MIN_LITERALS, WINDOW + 1):
         hashes = F.when(width == w, window_hashes(F.col("c"), w)).otherwise(hashes)
-    items = items.select("item_id", width.alias("width"), F.size("c").alias("n_tokens"), "c", hashes.alias("hs"))
+    items = items.select("item", width.alias("width"), F.size("c").alias("n_tokens"), "c", hashes.alias("hs"))
     rows = items.select(
-        "item_id", "width", (F.col("n_tokens") - F.col("width") + 1).alias("n_windows"), "c", F.posexplode("hs").alias("ipos", "h")
+        "item", "width", (F.col("n_tokens") - F.col("width") + 1).alias("n_windows"), "c", F.posexplode("hs").alias("ipos", "h")
     )
     literals = F.size(F.filter(F.slice("c", F.col("ipos") + 1, F.col("width")), lambda t: ~_placeholder(t)))
     return rows.where(literals >= MIN_LITERALS).drop("c")
 
 
 def matches(docs: DataFrame, windows: DataFrame, widths: list[int], small: bool) -> DataFrame:
-    """``doc_id, pos, item_id, ipos, n_windows`` of all equal windows."""
-    tokens = docs.select("doc_id", canonical_tokens(F.col("text")).alias("c"))
+    """``k1, k2, pos, item, ipos, n_windows`` of all equal windows; ``docs`` has row keys."""
+    tokens = docs.select(*ROW, canonical_tokens(F.col("text")).alias("c"))
     found = None
     for w in widths:
         mine = windows.where(F.col("width") == w).drop("width")
         mine = F.broadcast(mine) if small else mine
-        some = tokens.select("doc_id", F.posexplode(window_hashes(F.col("c"), w)).alias("pos", "h")).join(mine, "h").drop("h")
+        some = tokens.select(*ROW, F.posexplode(window_hashes(F.col("c"), w)).alias("pos", "h")).join(mine, "h").drop("h")
         found = some if found is None else found.unionAll(some)
     return found
 
@@ -116,11 +127,23 @@ def findings(docs: DataFrame, benchmark: DataFrame, window_limit: int = BROADCAS
     ``n_matched`` counts distinct item windows on consistent alignments,
     ``n_slots`` the slots that were compared.
     """
+    return (
+        row_findings(docs, benchmark, window_limit)
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.sum("n_slots").alias("n_slots"))
+    )
+
+
+def row_findings(docs: DataFrame, benchmark: DataFrame, window_limit: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``k1, k2, doc_id, item, item_id, n_windows, n_matched, n_slots``: the findings by row of the two tables."""
+    docs = row_keys(docs.select("doc_id", "text"))
     windows = materialise(benchmark_windows(benchmark), "decontam-windows")
     sizes = windows.groupBy("width").count().collect()  # at most five rows
     if not sizes:
         return docs.where(F.lit(False)).select(
+            *ROW,
             "doc_id",
+            F.lit(0).cast("bigint").alias("item"),
             F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"),
             *[F.lit(0).cast("bigint").alias(c) for c in ("n_windows", "n_matched", "n_slots")],
         )
@@ -128,7 +151,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, window_limit: int = BROADCAS
     hits = matches(docs, windows, sorted(r["width"] for r in sizes), total <= window_limit)
     # One diagonal of one document and item is no longer than the item.
     runs = materialise(
-        hits.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
+        hits.groupBy(*ROW, "item", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
             F.collect_set("ipos").alias("at")
         ),
         "decontam-runs",
@@ -137,41 +160,30 @@ def findings(docs: DataFrame, benchmark: DataFrame, window_limit: int = BROADCAS
 
 
 def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame) -> DataFrame:
-    wanted = runs.select("doc_id").distinct()
     texts = (
-        docs.select("doc_id", "text")
-        .join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        .groupBy("doc_id")
-        .agg(F.collect_set("text").alias("texts"))
-        .select(F.col("doc_id").alias("d"), F.transform("texts", surface_tokens).alias("dtexts"))
+        docs.join(runs.select(*ROW).distinct(), [*ROW], "left_semi")
+        .groupBy(*ROW)
+        .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        .select(*ROW, "doc_id", surface_tokens(F.col("text")).alias("dw"))
     )
-    items = (
-        benchmark.groupBy("item_id")
-        .agg(F.collect_set("text").alias("texts"))
-        .select(
-            F.col("item_id").alias("i"),
-            F.transform("texts", lambda t: F.struct(canonical_tokens(t).alias("c"), surface_tokens(t).alias("w"))).alias("itexts"),
-        )
-    )
-    rows = runs.join(items, F.col("item_id").eqNullSafe(F.col("i"))).join(texts, F.col("doc_id").eqNullSafe(F.col("d")))
+    text = F.col("text")
+    items = _items(benchmark).select("item", "item_id", canonical_tokens(text).alias("c"), surface_tokens(text).alias("w"))
+    rows = runs.join(items, "item").join(texts, [*ROW])
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-
-    def slots(item: Column, words: Column) -> Column:
-        """Value pairs of the covered slots."""
-        inside = F.filter(covered, lambda t: (t < F.size(item["c"])) & _placeholder(F.get(item["c"], t)))
-        return F.transform(
-            inside,
-            lambda t: F.struct(F.get(item["w"], t).alias("a"), F.get(words, (t + F.col("diagonal")).cast("int")).alias("b")),
-        )
+    inside = F.filter(covered, lambda t: (t < F.size("c")) & _placeholder(F.get("c", t)))
+    # Value pairs of the covered slots.
+    slots = F.transform(
+        inside, lambda t: F.struct(F.get("w", t).alias("a"), F.get("dw", (t + F.col("diagonal")).cast("int")).alias("b"))
+    )
 
     def one_to_one(pairs: Column) -> Column:
         return F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"]))) == F.size(F.array_distinct(pairs))
 
-    every = F.flatten(F.flatten(F.transform("itexts", lambda it: F.transform("dtexts", lambda wd: slots(it, wd)))))
-    rows = rows.select("doc_id", "item_id", "n_windows", "at", every.alias("pairs")).where(one_to_one(F.col("pairs")))
+    keys = [*ROW, "doc_id", "item", "item_id"]
+    rows = rows.select(*keys, "n_windows", "at", slots.alias("pairs")).where(one_to_one(F.col("pairs")))
     matched = F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint")
     return (
-        rows.groupBy("doc_id", "item_id")
+        rows.groupBy(*keys)
         .agg(
             F.max("n_windows").cast("bigint").alias("n_windows"),
             matched.alias("n_matched"),
@@ -182,6 +194,7 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame) -> DataF
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a finding, with their own columns only."""
-    bad = findings(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs`` without a finding of their own, with their own columns only."""
+    bad = row_findings(docs, benchmark).select(*ROW).distinct()
+    keyed = row_keys(docs.select(whole_row(docs), "doc_id", "text"))
+    return keyed.join(bad, [*ROW], "left_anti").select("__row.*")

@@ -160,3 +160,14 @@ def test_clean_rows_stay(spark):
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     kept = decontam.drop_contaminated(d, b)
     assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
+
+
+def test_rows_that_share_an_id_are_searched_apart(spark):
+    clean = "Before. Carla has 40 apples and she gives 7 apples to Dan every single week. How many apples does Eve keep?"
+    docs = [(None, "Well. " + ITEM), (None, "Well. " + clean), (None, "other"), (7, "Well. " + ITEM), (7, "other"), (None, None)]
+    items = [(1, ITEM), (None, "x y z a b c d e f g"), (None, "h i j k l m n o p q")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert set(_found(spark, docs, items)) == {(None, 1), (7, 1)}
+    kept = {(r["doc_id"], r["text"]) for r in decontam.drop_contaminated(d, b).collect()}
+    assert kept == {(None, "Well. " + clean), (None, "other"), (7, "other"), (None, None)}
