@@ -9,6 +9,11 @@ slots are consistent: each value of the item meets one value of the document
 throughout. So a question with other numbers or names is still caught, and
 windows that merely have the same shape are not.
 
+``findings`` is the method of the SQL: templates only. ``drop_contaminated`` looks at
+each text in the further ``FORMS`` too, since capitals and line breaks decide what a
+template takes for a name: the template of the text on one line, and the words as they
+stand with typed numbers. Windows of all forms count together.
+
 Defined results: null and blank texts hold no window; an item of fewer than eight
 tokens is searched as one window of its own length, one of fewer than
 ``MIN_LITERALS`` literal tokens is not searchable; rows of equal doc_id and text are
@@ -20,6 +25,9 @@ not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,15 +96,34 @@ def _placeholder(token: Column) -> Column:
     return token.rlike("^[012]+$")
 
 
+class Form(NamedTuple):
+    """A way to read a text, one token for each surface token."""
+
+    tokens: Callable[[Column], Column]
+    least: int = MIN_LITERALS  # literal tokens of a searchable window
+
+
+def _one_line(text: Column) -> Column:
+    return canonical_tokens(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_RUN, " "))
+
+
+def _typed(text: Column) -> Column:
+    return _tokens(_strip(F.regexp_replace(F.coalesce(text, F.lit("")), NUMBER, "0")))
+
+
+TEMPLATE = Form(canonical_tokens)
+FORMS = (TEMPLATE, Form(_one_line), Form(_typed))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """``item, item_id, text``: the distinct rows of the benchmark under a key."""
     rows = benchmark.select("item_id", "text").distinct()
     return rows.select(F.xxhash64(F.lit(1), "item_id", "text").alias("item"), "item_id", "text")
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, form: Form = TEMPLATE) -> DataFrame:
     """``item, width, n_windows, ipos, h`` of every searchable window; repeated items count once."""
-    items = _items(benchmark).select("item", canonical_tokens(F.col("text")).alias("c"))
+    items = _items(benchmark).select("item", form.tokens(F.col("text")).alias("c"))
     width = F.least(F.size("c"), F.lit(WINDOW))
     hashes = F.lit(None).cast("array<bigint>")
     for w in range(MIN_LITERALS, WINDOW + 1):
@@ -106,12 +133,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         "item", "width", (F.col("n_tokens") - F.col("width") + 1).alias("n_windows"), "c", F.posexplode("hs").alias("ipos", "h")
     )
     literals = F.size(F.filter(F.slice("c", F.col("ipos") + 1, F.col("width")), lambda t: ~_placeholder(t)))
-    return rows.where(literals >= MIN_LITERALS).drop("c")
+    return rows.where(literals >= form.least).drop("c")
 
 
-def matches(docs: DataFrame, windows: DataFrame, widths: list[int], small: bool) -> DataFrame:
+def matches(docs: DataFrame, windows: DataFrame, widths: list[int], small: bool, form: Form = TEMPLATE) -> DataFrame:
     """``k1, k2, pos, item, ipos, n_windows`` of all equal windows; ``docs`` has row keys."""
-    tokens = docs.select(*ROW, canonical_tokens(F.col("text")).alias("c"))
+    tokens = docs.select(*ROW, form.tokens(F.col("text")).alias("c"))
     found = None
     for w in widths:
         mine = windows.where(F.col("width") == w).drop("width")
@@ -134,11 +161,17 @@ def findings(docs: DataFrame, benchmark: DataFrame, window_limit: int = BROADCAS
     )
 
 
-def row_findings(docs: DataFrame, benchmark: DataFrame, window_limit: int = BROADCAST_WINDOWS) -> DataFrame:
+def row_findings(
+    docs: DataFrame, benchmark: DataFrame, window_limit: int = BROADCAST_WINDOWS, forms: tuple[Form, ...] = (TEMPLATE,)
+) -> DataFrame:
     """``k1, k2, doc_id, item, item_id, n_windows, n_matched, n_slots``: the findings by row of the two tables."""
     docs = row_keys(docs.select("doc_id", "text"))
-    windows = materialise(benchmark_windows(benchmark), "decontam-windows")
-    sizes = windows.groupBy("width").count().collect()  # at most five rows
+    windows = None
+    for k, form in enumerate(forms):
+        some = benchmark_windows(benchmark, form).withColumn("form", F.lit(k))
+        windows = some if windows is None else windows.unionAll(some)
+    windows = materialise(windows, "decontam-windows")
+    sizes = windows.groupBy("form", "width").count().collect()  # at most five rows a form
     if not sizes:
         return docs.where(F.lit(False)).select(
             *ROW,
@@ -148,18 +181,23 @@ def row_findings(docs: DataFrame, benchmark: DataFrame, window_limit: int = BROA
             *[F.lit(0).cast("bigint").alias(c) for c in ("n_windows", "n_matched", "n_slots")],
         )
     total = sum(r["count"] for r in sizes)
-    hits = matches(docs, windows, sorted(r["width"] for r in sizes), total <= window_limit)
+    hits = None
+    for k, form in enumerate(forms):
+        widths = sorted(r["width"] for r in sizes if r["form"] == k)
+        if widths:
+            some = matches(docs, windows.where(F.col("form") == k), widths, total <= window_limit, form)
+            hits = some if hits is None else hits.unionAll(some)
     # One diagonal of one document and item is no longer than the item.
     runs = materialise(
-        hits.groupBy(*ROW, "item", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
+        hits.groupBy(*ROW, "item", "form", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
             F.collect_set("ipos").alias("at")
         ),
         "decontam-runs",
     )
-    return _consistent(docs, benchmark, runs)
+    return _consistent(docs, benchmark, runs, forms)
 
 
-def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame) -> DataFrame:
+def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame, forms: tuple[Form, ...]) -> DataFrame:
     texts = (
         docs.join(runs.select(*ROW).distinct(), [*ROW], "left_semi")
         .groupBy(*ROW)
@@ -167,8 +205,9 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame) -> DataF
         .select(*ROW, "doc_id", surface_tokens(F.col("text")).alias("dw"))
     )
     text = F.col("text")
-    items = _items(benchmark).select("item", "item_id", canonical_tokens(text).alias("c"), surface_tokens(text).alias("w"))
-    rows = runs.join(items, "item").join(texts, [*ROW])
+    read = F.array(*[form.tokens(text) for form in forms])
+    items = _items(benchmark).select("item", "item_id", read.alias("cs"), surface_tokens(text).alias("w"))
+    rows = runs.join(items, "item").withColumn("c", F.get("cs", F.col("form"))).join(texts, [*ROW])
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     inside = F.filter(covered, lambda t: (t < F.size("c")) & _placeholder(F.get("c", t)))
     # Value pairs of the covered slots.
@@ -195,6 +234,6 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame) -> DataF
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a finding of their own, with their own columns only."""
-    bad = row_findings(docs, benchmark).select(*ROW).distinct()
+    bad = row_findings(docs, benchmark, forms=FORMS).select(*ROW).distinct()
     keyed = row_keys(docs.select(whole_row(docs), "doc_id", "text"))
     return keyed.join(bad, [*ROW], "left_anti").select("__row.*")

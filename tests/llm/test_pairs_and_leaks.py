@@ -171,3 +171,22 @@ def test_rows_that_share_an_id_are_searched_apart(spark):
     assert set(_found(spark, docs, items)) == {(None, 1), (7, 1)}
     kept = {(r["doc_id"], r["text"]) for r in decontam.drop_contaminated(d, b).collect()}
     assert kept == {(None, "Well. " + clean), (None, "other"), (7, "other"), (None, None)}
+
+
+def _dropped(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {i for i, _ in docs} - {r["doc_id"] for r in decontam.drop_contaminated(d, b).collect()}
+
+
+def test_capitals_and_line_breaks_hide_no_copy(spark):
+    words = ITEM.split()
+    other = ITEM.replace("Anna", "Carla").replace("12", "40").split()
+    docs = [
+        (1, "Before. " + ITEM.upper()),
+        (2, "Before. " + ITEM.upper().replace("12", "40")),
+        (3, "\n".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4))),
+        (4, "\n".join(" ".join(other[k : k + 4]) for k in range(0, len(other), 4))),
+        (5, "APPLES AND PEARS ARE GIVEN AWAY EVERY SINGLE WEEK.\nHow many\npeople keep 12 apples?"),
+    ]
+    assert _dropped(spark, docs, [(1, ITEM)]) == {1, 2, 3, 4}
