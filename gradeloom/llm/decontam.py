@@ -11,8 +11,10 @@ windows that merely have the same shape are not.
 
 ``findings`` is the method of the SQL: templates only. ``drop_contaminated`` looks at
 each text in the further ``FORMS`` too, since capitals and line breaks decide what a
-template takes for a name: the template of the text on one line, and the words as they
-stand with typed numbers. Windows of all forms count together.
+template takes for a name: the template of the text on one line, the words as they
+stand with typed numbers, and the words with their numbers, where a window needs no
+literals. Windows of all forms count together. A window with too few literals to be
+searched for counts there too, where it is equal on an alignment that another one found.
 
 Defined results: null and blank texts hold no window; an item of fewer than eight
 tokens is searched as one window of its own length, one of fewer than
@@ -112,7 +114,7 @@ def _typed(text: Column) -> Column:
 
 
 TEMPLATE = Form(canonical_tokens)
-FORMS = (TEMPLATE, Form(_one_line), Form(_typed))
+FORMS = (TEMPLATE, Form(_one_line), Form(_typed), Form(surface_tokens, 0))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -194,32 +196,46 @@ def row_findings(
         ),
         "decontam-runs",
     )
-    return _consistent(docs, benchmark, runs, forms)
+    return _consistent(docs, benchmark, runs, forms, forms != (TEMPLATE,))
 
 
-def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame, forms: tuple[Form, ...]) -> DataFrame:
+def _consistent(docs: DataFrame, benchmark: DataFrame, runs: DataFrame, forms: tuple[Form, ...], extend: bool) -> DataFrame:
     texts = (
         docs.join(runs.select(*ROW).distinct(), [*ROW], "left_semi")
         .groupBy(*ROW)
         .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-        .select(*ROW, "doc_id", surface_tokens(F.col("text")).alias("dw"))
     )
     text = F.col("text")
     read = F.array(*[form.tokens(text) for form in forms])
+    texts = texts.select(*ROW, "doc_id", surface_tokens(text).alias("dw"), *([read.alias("dcs")] if extend else []))
     items = _items(benchmark).select("item", "item_id", read.alias("cs"), surface_tokens(text).alias("w"))
     rows = runs.join(items, "item").withColumn("c", F.get("cs", F.col("form"))).join(texts, [*ROW])
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    inside = F.filter(covered, lambda t: (t < F.size("c")) & _placeholder(F.get("c", t)))
-    # Value pairs of the covered slots.
-    slots = F.transform(
-        inside, lambda t: F.struct(F.get("w", t).alias("a"), F.get("dw", (t + F.col("diagonal")).cast("int")).alias("b"))
-    )
+    if extend:
+        equal = F.transform(
+            "c", lambda x, t: F.coalesce(x == F.get(F.get("dcs", F.col("form")), (t + F.col("diagonal")).cast("int")), F.lit(False))
+        )
+        width = F.least(F.size("c"), F.lit(WINDOW))
+        whole = F.filter(F.sequence(F.lit(0), F.size("c") - width), lambda p: F.forall(F.slice("equal", p + 1, width), lambda x: x))
+        rows = rows.withColumn("equal", equal).withColumn("all", F.array_union("at", whole))
+
+    def slots(at: str) -> Column:
+        """Value pairs of the slots that the windows ``at`` cover."""
+        covered = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + (WINDOW - 1)))))
+        inside = F.filter(covered, lambda t: (t < F.size("c")) & _placeholder(F.get("c", t)))
+        return F.transform(
+            inside, lambda t: F.struct(F.get("w", t).alias("a"), F.get("dw", (t + F.col("diagonal")).cast("int")).alias("b"))
+        )
 
     def one_to_one(pairs: Column) -> Column:
         return F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"]))) == F.size(F.array_distinct(pairs))
 
     keys = [*ROW, "doc_id", "item", "item_id"]
-    rows = rows.select(*keys, "n_windows", "at", slots.alias("pairs")).where(one_to_one(F.col("pairs")))
+    rows = rows.withColumn("pairs", slots("at"))
+    if extend:
+        # The further windows count if their slots agree with the rest.
+        rows = rows.withColumn("more", slots("all")).withColumn("ok", one_to_one(F.col("more")))
+        rows = rows.withColumns({c: F.when(F.col("ok"), F.col(m)).otherwise(F.col(c)) for c, m in (("at", "all"), ("pairs", "more"))})
+    rows = rows.select(*keys, "n_windows", "at", "pairs").where(one_to_one(F.col("pairs")))
     matched = F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint")
     return (
         rows.groupBy(*keys)

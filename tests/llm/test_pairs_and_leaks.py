@@ -190,3 +190,16 @@ def test_capitals_and_line_breaks_hide_no_copy(spark):
         (5, "APPLES AND PEARS ARE GIVEN AWAY EVERY SINGLE WEEK.\nHow many\npeople keep 12 apples?"),
     ]
     assert _dropped(spark, docs, [(1, ITEM)]) == {1, 2, 3, 4}
+
+
+def test_items_of_numbers_are_found(spark):
+    total = "What is the sum of {}, {}, {}, {}, {}, {}, {}, {}, {} and {}?"
+    row = "Sort 7 3 9 1 4 8 2 6 5 0 now"
+    docs = [
+        (1, "Well. " + total.format(*range(12, 42, 3))),
+        (2, "Well. " + total.format(*range(50, 60))),
+        (3, "Well. What is the sum of 50, 51, 52 and nothing else at all in this text?"),
+        (4, "Well. " + row),
+        (5, "Well. Sort 1 2 3 4 5 6 7 8 9 0 now"),
+    ]
+    assert _dropped(spark, docs, [(1, total.format(*range(12, 42, 3))), (2, row)]) == {1, 2, 4}
