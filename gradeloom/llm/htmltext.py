@@ -4,7 +4,8 @@ A page is cut into leaf blocks: runs of text between block-level tags, each with
 path of tags (with class and id words) above it. A bidirectional LSTM in numpy reads
 the blocks of the whole page in order, each as a vector of hashed path parts, hashed
 words and a few shape figures, and decides for every block whether it belongs to the
-main text. Scripts, styles and the like hold no blocks.
+main text. Scripts, styles and comments hold no blocks, nor do titles, templates,
+frames and form controls that are closed; the text of all other elements is kept for it.
 
 The labeller is fitted on a bounded sample of the given pages (``SAMPLE_PAGES``)
 whose tags tell their role plainly: what stands in ``article`` or ``main`` and under no
@@ -42,7 +43,10 @@ EPOCHS = 14
 BATCH_STEPS = 60_000  # blocks, padding included, that go through the network at once
 
 # How HTML elements break text.
-SILENT = ("script", "style", "noscript", "template", "head", "title", "textarea", "select", "iframe", "svg", "math", "object", "canvas", "button")
+SILENT = ("script", "style")  # up to the end of the page if need be
+CLOSED = ("title", "template", "iframe", "textarea")  # silent if closed before the next of the kind; else only the tag goes
+CONTROLS = ("select", "button")  # silent if closed before any other block
+HEAD = frozenset("html head base link meta noscript script style template title".split())  # what leaves a head open
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
@@ -77,9 +81,14 @@ MAIN_LEAVES = (
 SIDE_LEAVES = ("p", "ul li", "div", "ul li", "h3", "form", "div p", "")
 
 _SILENT = "|".join(SILENT)
+_CLOSED = "|".join(CLOSED)
+_CONTROLS = "|".join(CONTROLS)
+_BLOCK = "|".join(sorted(CLOSES_P | {"body", *SILENT, *CLOSED, *CONTROLS}))
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_SILENT})\b{_REST}>.*?(?:</\1\s*>|\Z)"
+    rf"|<({_CLOSED})\b{_REST}>(?:[^<]|<(?!/?\2\b))*+</\2\s*>|<({_CONTROLS})\b{_REST}>(?:[^<]|<(?!/?(?:{_BLOCK})\b))*+</\3\s*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{_REST})(?:>|\Z)",
     re.S | re.I,
 )
 _NAMING = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -107,6 +116,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     held: list[str] = []
     linked = depth_a = at = 0
+    in_head = False
 
     def flush() -> None:
         nonlocal linked
@@ -127,12 +137,17 @@ def blocks(page: str | None) -> list[Block]:
     for m in _PIECE.finditer(page):
         say(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        if m["tag"] is None:
             continue
-        tag = m[3].lower()
+        tag = m["tag"].lower()
+        if in_head and not m["end"] and tag not in HEAD:
+            flush()
+            in_head, tags = False, [e.split(" ", 1)[0] for e in stack]
+            if "head" in tags:
+                del stack[tags.index("head") :]
         if tag in INLINE:
             if tag == "a":
-                depth_a = max(0, depth_a + (-1 if m[2] else 1))
+                depth_a = max(0, depth_a + (-1 if m["end"] else 1))
             continue
         if tag in VOID:
             if tag == "hr":
@@ -143,7 +158,7 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         depth_a = 0
         tags = [e.split(" ", 1)[0] for e in stack]
-        if m[2]:
+        if m["end"]:
             if tag in tags:
                 del stack[len(tags) - 1 - tags[::-1].index(tag) :]
             continue
@@ -151,8 +166,9 @@ def blocks(page: str | None) -> list[Block]:
             stack.pop()
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and tags and tags[-1] == tag:
             stack.pop()
-        if not m[4].endswith("/"):
-            stack.append(_element(tag, m[4]))
+        if not m["rest"].endswith("/"):
+            stack.append(_element(tag, m["rest"]))
+            in_head = in_head or tag == "head"
     say(page[at:])
     flush()
     return out

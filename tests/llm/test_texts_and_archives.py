@@ -67,6 +67,24 @@ def test_blocks():
     assert [b.text for b in htmltext.blocks(page)] == ["a <b> cd e", "x y", "z", "1", "2", "tail &am"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>T</title><body><article><p>Main text", ["Main text"]),
+        ("<head><title>T</title><p>a</p>", ["a"]),
+        ("<html><head><meta x><style>p</style></head><body>a", ["a"]),
+        ("<p>a<button>b<p>c", ["a", "b", "c"]),
+        ("<select><option>a<p>b</p><select><option>x</select>", ["a", "b"]),
+        ("<p>a<button>x</button>b", ["ab"]),
+        ("<article><object><p>a</p></object><math><mi>b</mi></math><noscript>c</noscript><svg>d", ["a", "b", "c", "d"]),
+        ("<title>a<p>b<iframe>c", ["a", "b", "c"]),
+        ("<p>a<template><p>x</template><textarea>x</textarea><script>x", ["a"]),
+    ],
+)
+def test_open_elements_swallow_nothing(page, want):
+    assert [b.text for b in htmltext.blocks(page)] == want
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(3)
     model = htmltext.Labeller()
