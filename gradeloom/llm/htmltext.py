@@ -345,10 +345,20 @@ def rebuilt(page: list[Block], labels: np.ndarray, others: list[str], r: np.rand
 
 def train(pages: DataFrame, seed: int = 5) -> Labeller | None:
     """Fit on about ``SAMPLE_PAGES`` pages, taken by a hash; None if no page tells its roles."""
-    fit = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)).between(1, SAMPLE_BYTES)).select("html")
-    n = max(1, pages.count())
-    drawn = fit.where(F.pmod(F.xxhash64(F.lit(seed), "html"), F.lit(n)) < SAMPLE_PAGES)
-    texts = sorted({r["html"] for r in drawn.limit(2 * SAMPLE_PAGES).collect()})  # the bound of the sample
+    return _fitted(sample_pages(pages, seed), seed)
+
+
+def sample_pages(pages: DataFrame, seed: int = 5) -> list[str]:
+    """About ``SAMPLE_PAGES`` different pages, the same whatever the order and number of their rows."""
+    fit = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)).between(1, SAMPLE_BYTES))
+    fit = fit.select("html", F.xxhash64(F.lit(seed), "html").alias("h"))
+    n = max(1, fit.select("h").distinct().count())
+    drawn = fit.where(F.pmod("h", F.lit(n)) < SAMPLE_PAGES).groupBy("h").agg(F.min("html").alias("html"))
+    # The bound of the sample.
+    return sorted(r["html"] for r in drawn.orderBy("h").limit(2 * SAMPLE_PAGES).collect())
+
+
+def _fitted(texts: list[str], seed: int) -> Labeller | None:
     sample = []
     for text in texts:
         page = blocks(text)

@@ -85,6 +85,15 @@ def test_open_elements_swallow_nothing(page, want):
     assert [b.text for b in htmltext.blocks(page)] == want
 
 
+def test_sample_counts_a_page_once(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "SAMPLE_PAGES", 20)
+    pages = [(f"<p>page {k}",) for k in range(200)]
+    once = htmltext.sample_pages(spark.createDataFrame(pages, "html string"))
+    assert 5 <= len(once) <= 40
+    hot = [(h,) for h in once[:3] for _ in range(500)]
+    assert htmltext.sample_pages(spark.createDataFrame(hot + pages, "html string").repartition(7)) == once
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(3)
     model = htmltext.Labeller()
