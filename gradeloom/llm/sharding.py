@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_bytes
 
 RING_BITS = 40
+PIECE = 4096  # ranks of a repeated row that are written out at once
 
 
 @dataclass(frozen=True)
@@ -122,11 +123,19 @@ def shard(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
     stretch = docs.sparkSession.createDataFrame(placed, "arc int, lo long, hi long, shard int, shift long")
 
     upto = F.sum("n").over(W.partitionBy("arc").orderBy("at", "doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, 0))
-    ranked = rows.withColumn("hi_rank", upto).select(
-        "doc_id", "size", "text_crc32", "arc", F.explode(F.sequence(F.col("hi_rank") - F.col("n"), F.col("hi_rank") - 1)).alias("rank")
-    )
-    return (
+    ranked = rows.withColumn("hi_rank", upto).withColumn("lo_rank", F.col("hi_rank") - F.col("n"))
+    parts = (
         ranked.join(F.broadcast(stretch), "arc")
-        .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.col("shift")).alias("slot"))
+        .withColumns({"first": F.greatest("lo_rank", "lo"), "end": F.least("hi_rank", "hi")})
+        .where(F.col("first") < F.col("end"))
+    )
+    # A row that repeats is cut into pieces, which other tasks may write out; a given number of partitions is not coalesced.
+    pieces = parts.select(
+        "doc_id", "size", "text_crc32", "shard", "shift", "end", F.explode(F.sequence("first", F.col("end") - 1, F.lit(PIECE).cast("bigint"))).alias("first")
+    )
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(tasks, "shard", "first", "doc_id", "text_crc32")
+    last = F.least(F.col("end"), F.col("first") + PIECE) - 1
+    return pieces.select("doc_id", "size", "text_crc32", "shard", "shift", F.explode(F.sequence("first", last)).alias("rank")).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.col("shift")).alias("slot")
     )

@@ -187,6 +187,18 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.shard(df.where("false")).count() == 0
 
 
+def test_a_repeated_row_is_written_by_many_tasks(spark):
+    one = spark.range(100_000).select(F.lit(7).alias("doc_id"), F.lit("t").alias("text"))
+    out = sharding.shard(one.unionAll(spark.range(50).select("id", F.lit("u"))), sharding.Ring(shards=3))
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    assert max(Counter(r["task"] for r in rows).values()) < 80_000
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(map(len, slots.values())) == [33_350] * 3
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_more_shards_move_few_rows(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     a = sharding.shard(df, sharding.Ring(shards=24, slack=0.25)).select("doc_id", F.col("shard").alias("a"))
