@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, mixing, pii, quality, sharding, simjoin, urlfilter, warc
+from . import decontam, htmltext, kneserney, langid, merkle, mixing, pii, quality, sharding, simjoin, urlfilter, vectorcode, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +285,171 @@ def op8_hyperdimensional_langid(spark, sf_dir):
 @register("op9_weak_supervision_pii")
 def op9_weak_supervision_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+# CRC-32 (reflected polynomial 0xEDB88320) of a short ASCII string, byte by byte.
+_CRC_TABLE = """crc as (
+  select list(v order by n) as crc_table from (
+    select n, list_reduce(list_prepend(n, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v
+    from range(256) r(n)
+  )
+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}::varchar, ''), lambda c: ord(c)::bigint)),
+    lambda a, b: xor(a >> 8, crc_table[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+def _merkle_sql(depth: int = 24) -> str:
+    """Trees of up to 2 ** depth leaves, level by level."""
+    field = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+
+    def levels(name: str, key: str) -> str:
+        climb = [
+            f"{name}{k + 1} as (select {key}, i // 2 as i, case when n = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h,"
+            f" (n + 1) // 2 as n from {name}{k} group by {key}, i // 2, n)"
+            for k in range(depth)
+        ]
+        every = " union all ".join(f"select {k} as k, {key}, i, h from {name}{k} where n > 1" for k in range(depth))
+        return ",\n".join([*climb, f"{name} as ({every})"])
+
+    return f"""
+with {_CRC_TABLE},
+d as (
+  select doc_id, lang, {leaf("n_chars")} as leaf, case when {_CRC.format("doc_id")} % 7 = 0 then {leaf("(n_chars + 1)")} else {leaf("n_chars")} end as tried
+  from documents, crc
+),
+r as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as r, count(*) over (partition by lang) as n from d),
+a0 as (select lang, r as i, leaf as h, n from r),
+{levels("a", "lang")},
+top as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from a{depth}),
+b0 as (select 0 as one, i, subroot as h, n from top),
+{levels("b", "one")},
+steps as (
+  select doc_id, a.k, case when z.i > a.i then 'R' || z.h else coalesce('L' || z.h, 'L') end as step
+  from r join a on a.lang is not distinct from r.lang and a.i = r.r >> a.k
+  left join a z on z.lang is not distinct from a.lang and z.k = a.k and z.i = xor(a.i, 1)
+  union all
+  select doc_id, {depth} + b.k, case when z.i > b.i then 'R' || z.h else coalesce('L' || z.h, 'L') end
+  from r join top on top.lang is not distinct from r.lang join b on b.i = top.i >> b.k left join b z on z.k = b.k and z.i = xor(b.i, 1)
+),
+proofs as (select doc_id, list(step order by k) as steps from steps group by doc_id),
+f as (
+  select r.doc_id, leaf, subroot, (select h from b{depth}) as root, sha256(coalesce(list_aggregate(list_transform(steps, lambda s: s[2:]), 'string_agg', ''), '')) as proof_sha256,
+    list_reduce(list_prepend(tried, coalesce(steps, [])), lambda x, s: sha256(case when s[1] = 'L' then s[2:] || x else x || s[2:] end)) as folded_root
+  from r join top on top.lang is not distinct from r.lang left join proofs using (doc_id)
+)
+select *, folded_root = root as verified from f
+"""
+
+
+@register("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def _discounts(name: str, source: str) -> str:
+    """The three discounts of a level from its counts ``a``."""
+    of = lambda i, low, high: f"{i} - {i + 1} * y * {high} / {low}"
+    pick = lambda i, low, high, other: (
+        f"coalesce(case when n1 > 0 and n2 > 0 and {low} > 0 and {high} > 0 and {of(i, low, high)} > 0 and {of(i, low, high)} < {i} then {of(i, low, high)} end, {other}::double)"
+    )
+    return f"""{name} as (
+  select {pick(1, "n1", "n2", 0.5)} as d1, {pick(2, "n2", "n3", 1.0)} as d2, {pick(3, "n3", "n4", 1.5)} as d3
+  from (select *, n1::double / (n1 + 2 * n2) as y from (
+    select count(*) filter (a = 1) as n1, count(*) filter (a = 2) as n2, count(*) filter (a = 3) as n3, count(*) filter (a = 4) as n4 from {source}))
+)"""
+
+
+KNESER_NEY_SQL = rf"""
+with {_CRC_TABLE},
+d as (
+  select doc_id, coalesce({_CRC.format("doc_id")} % 10 = 0, false) as held_out,
+    list_concat([' start'], list_append(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), ' end')) as t
+  from documents, crc
+),
+p as (select doc_id, held_out, t[i] as u, t[i + 1] as w from (select *, unnest(range(1, len(t))) as i from d)),
+uni as (select w, count(*) as c from p where not held_out group by w),
+corpus as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from uni),
+bi as (select u, w, count(*) as a from p where not held_out group by u, w),
+cont as (select w, count(*) as a from bi group by w),
+ctx as (select u, sum(a) as s, count(*) filter (a = 1) as n1, count(*) filter (a = 2) as n2, count(*) filter (a > 2) as n3 from bi group by u),
+{_discounts("k2", "bi")},
+{_discounts("k1", "cont")},
+short as (
+  select coalesce(sum(a), 0) as s, d1 * count(*) filter (a = 1) + d2 * count(*) filter (a = 2) + d3 * count(*) filter (a > 2) as mass
+  from k1 left join cont on true group by d1, d2, d3
+),
+lower1 as (
+  select p.*, n, v, coalesce(uni.c, 0) as c,
+    case when short.s > 0 then greatest(coalesce(cont.a, 0) - case coalesce(cont.a, 0) when 0 then 0 when 1 then k1.d1 when 2 then k1.d2 else k1.d3 end, 0) / short.s
+      + mass / short.s / (v + 1) else 1.0::double / (v + 1) end as p1
+  from p cross join corpus cross join short cross join k1 left join uni using (w) left join cont using (w)
+),
+full2 as (
+  select l.*, case when ctx.s > 0 then greatest(coalesce(bi.a, 0) - case coalesce(bi.a, 0) when 0 then 0 when 1 then k2.d1 when 2 then k2.d2 else k2.d3 end, 0) / ctx.s
+      + (k2.d1 * n1 + k2.d2 * n2 + k2.d3 * n3) / ctx.s * p1 else p1 end as p2
+  from lower1 l cross join k2 left join ctx on ctx.u = l.u left join bi on bi.u = l.u and bi.w = l.w
+)
+select doc_id, held_out, count(*)::bigint as n_tokens, count(*) filter (c > 0)::bigint as n_known, n as train_tokens,
+  round(sum(log10((c + {kneserney.ALPHA}::double) / (n + {kneserney.ALPHA}::double * (v + 1)))), 6) as base_score, round(sum(log10(p2)), 6) as score
+from full2 group by doc_id, held_out, n
+"""
+
+
+@register("op12_kneser_ney_scoring", KNESER_NEY_SQL)
+def op12_kneser_ney_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", kneserney.held_out(F.col("doc_id")))
+    model, scored = kneserney.train_and_score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(model.levels[1].raw_total).cast("bigint").alias("train_tokens"),
+        F.round("base_score", 6).alias("base_score"),
+        F.round("score", 6).alias("score"),
+    )
+
+
+def _codes_sql(coder: vectorcode.Coder) -> str:
+    def assign(k: int) -> str:
+        return f"""n{k} as (
+  select vec_id, label, p, v, arg_min(e, dist * {coder.entries} + e) as e, min(dist) as dist
+  from (select x.*, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::hugeint as dist from parts x join c{k} c using (p))
+  group by vec_id, label, p, v
+)"""
+
+    def refine(k: int) -> str:
+        return f"""s{k} as (select p, e, i, sum(v[i])::bigint as t, count(*) as n from (select *, unnest(range(1, len(v) + 1)) as i from n{k}) group by p, e, i),
+c{k + 1} as (
+  select p, e, coalesce(m.v, c.v) as v
+  from c{k} c left join (select p, e, list((t - (t % n + n) % n) // n order by i) as v from s{k} group by p, e) m using (p, e)
+)"""
+
+    rounds = ",\n".join(f"{assign(k)},\n{refine(k)}" for k in range(coder.rounds))
+    return f"""
+with x as (
+  select vec_id, label, list_transform(embedding, lambda x: floor({vectorcode.SCALE} * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+parts as (
+  select vec_id, label, p, v[p * len(v) // {coder.parts} + 1 : (p + 1) * len(v) // {coder.parts}] as v from x, range({coder.parts}) r(p)
+),
+c0 as (select p, row_number() over (partition by p order by vec_id) - 1 as e, v from parts where vec_id in (select vec_id from x order by vec_id limit {coder.entries})),
+{rounds},
+{assign(coder.rounds)},
+coded as (
+  select vec_id, label, string_agg(printf('%02x', e), '' order by p) as code, sum(dist)::bigint as error from n{coder.rounds} group by vec_id, label
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' order by p, e)) from c{coder.rounds}) as codebooks_sha256
+from coded
+"""
+
+
+@register("op13_limb_split_codes", _codes_sql(vectorcode.Coder()))
+def op13_limb_split_codes(spark, sf_dir):
+    coded = vectorcode.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
