@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fewshot, scoring, sweep
 from ..session import scratch_path
-from ..sources import images, json_files, sinks
+from ..sources import images, json_files, json_records, sinks
 from . import adapters
 from .evaluation_queries import RUNS, checked, run_metrics
 from .fewshot_queries import _SELECTED, SHOTS
@@ -152,6 +152,57 @@ def read_review_items(spark, sf_dir):
     )
 
 
+def _split_documents(spark, docs):
+    """Documents written as one file each and read back in byte ranges; ``path`` as in the table they come from."""
+    path = scratch_path(spark, "documents")
+    docs.select(F.col("name").alias("doc"), F.col("txt").alias("value")).repartition("doc").write.partitionBy("doc").text(path)
+    found = json_records.split_documents(spark, path, recursive=True, glob="*.txt")
+    named = F.regexp_replace("path", "^.*/doc=([^/]+)/[^/]+$", "/sets/$1")
+    return json_records.SplitDocuments(*(part.withColumn("path", named) for part in (found.files, found.records, found.entries)))
+
+
+@register(
+    "split_read_checkpoint",
+    """select '/sets/' || source_input as source_input, 'k' || row_idx as checkpoint_key,
+  row_number() over (partition by source_input order by row_idx) - 1 as row_idx, image_id, gt_answer, t_max from qa
+qualify coalesce(category, '') <> 'CAT5'""",
+    ["qa"],
+)
+def split_read_checkpoint(spark, sf_dir):
+    rows = json_files.read_checkpoint(_split_documents(spark, _checkpoint_docs(spark, sf_dir)))
+    return rows.select("source_input", "checkpoint_key", "row_idx", "image_id", "gt_answer", F.col("temp_summary.max").alias("t_max"))
+
+
+@register(
+    "split_read_qa_list",
+    """select '/sets/' || source_input as source_input,
+  row_number() over (partition by source_input order by row_idx) - 1 as row_idx, image_id, question_id, question,
+  case category when 'CAT1' then model_answer when 'CAT2' then null else gt_answer end as gt_answer from qa""",
+    ["qa"],
+)
+def split_read_qa_list(spark, sf_dir):
+    rows = json_files.read_qa_list(_split_documents(spark, _list_docs(spark, sf_dir)))
+    return rows.select("source_input", "row_idx", "image_id", "question_id", "question", "gt_answer")
+
+
+@register(
+    "split_quarantine",
+    """select '/sets/' || source_input as json_file, '<json_read>' as json_key, '<n/a>' as path,
+  'failed to parse/read json' as reason
+from (select distinct source_input from qa) where source_input like '%1.json' or source_input like '%2.json'""",
+    ["qa"],
+)
+def split_quarantine(spark, sf_dir):
+    """Some documents lose their last character, some gain text after their end."""
+    docs = _list_docs(spark, sf_dir)
+    txt = (
+        F.when(F.col("name").endswith("1.json"), F.left("txt", F.length("txt") - 1))
+        .when(F.col("name").endswith("2.json"), F.concat("txt", F.lit(" 1")))
+        .otherwise(F.col("txt"))
+    )
+    return json_files.quarantine_bad_files(_split_documents(spark, docs.withColumn("txt", txt)))
+
+
 _RECORDS = """select '/sets/' || source_input as json_file, {label} as record, rgb_path, thermal_path from qa"""
 
 

@@ -1,7 +1,8 @@
 """JSON documents -> typed rows.
 
 A source is a table ``(path, name, txt)`` with one document per row, from disk
-or from another table. ``VARIANT`` is only used here, at the ingest boundary.
+or from another table; or what :func:`json_records.split_documents` makes of large
+files, which the readers below take as well. ``VARIANT`` is only used here, at the ingest boundary.
 Three shapes exist: ``checkpoint`` (an object of keyed entries), ``list`` and
 ``results`` (an object holding a list). Each reader takes the shapes it accepts.
 """
@@ -99,6 +100,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
 
 def quarantine_bad_files(docs: DataFrame, accepted: tuple[str, ...] = ("checkpoint", "list", "results")) -> DataFrame:
     """``(file, json_key, path, reason)`` for documents that no reader takes."""
+    docs = getattr(docs, "files", docs)
     reason = F.when(F.col("shape") == "malformed", UNREADABLE).when(
         ~F.col("shape").isin(*accepted), BAD_SHAPE
     )
@@ -135,12 +137,17 @@ def _row_fields(v: str) -> list[Column]:
 
 def _entries(docs: DataFrame) -> DataFrame:
     """Checkpoint entries in document order."""
-    entries = _last_of_each_key(F.col("doc.root.items"))
+    if hasattr(docs, "entries"):
+        found = docs.entries
+    else:
+        entries = _last_of_each_key(F.col("doc.root.items"))
+        found = (
+            docs.where(F.col("shape") == "checkpoint")
+            .select("path", "name", F.posexplode(entries).alias("pos", "e"))
+            .select("path", "name", F.col("pos").cast("bigint").alias("row_idx"), F.col("e.key").alias("checkpoint_key"), F.col("e.value").alias("entry"))
+        )
     return (
-        docs.where(F.col("shape") == "checkpoint")
-        .select("path", "name", F.posexplode(entries).alias("pos", "e"))
-        .select("path", "name", F.col("pos").cast("bigint").alias("row_idx"), F.col("e.key").alias("checkpoint_key"), F.col("e.value").alias("entry"))
-        .where(_is_object("entry"))
+        found.where(_is_object("entry"))
         .withColumn("meta", _get("entry", "$.meta", "variant"))
         .where(F.col("meta").isNull() | _is_object("meta"))
     )
@@ -175,6 +182,8 @@ def read_decisions(docs: DataFrame) -> DataFrame:
 
 
 def _records(docs: DataFrame, *shapes: str) -> DataFrame:
+    if hasattr(docs, "records"):
+        return docs.records.where(F.col("shape").isin(*shapes)).drop("shape").where(_is_object("r"))
     rows = F.when(F.col("shape") == "list", F.col("doc.list")).otherwise(F.col("doc.root.results"))
     return (
         docs.where(F.col("shape").isin(*shapes))
