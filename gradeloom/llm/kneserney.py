@@ -452,7 +452,7 @@ def _chunked(docs: DataFrame, keep: list[str], train: Column) -> tuple[DataFrame
 
 
 def _routed(requests: DataFrame, shards: int) -> DataFrame:
-    return requests.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
+    return requests.repartitionById(shards, "shard").sortWithinPartitions("shard", "chunk")
 
 
 def _with_answers(chunks: DataFrame, columns: list[str], answers: DataFrame):
