@@ -191,6 +191,27 @@ def test_capitals_and_line_breaks_hide_no_copy(spark):
         (5, "APPLES AND PEARS ARE GIVEN AWAY EVERY SINGLE WEEK.\nHow many\npeople keep 12 apples?"),
     ]
     assert _dropped(spark, docs, [(1, ITEM)]) == {1, 2, 3, 4}
+    found = _found(spark, docs, [(1, ITEM)])
+    assert set(found) == {(k, 1) for k in (1, 2, 3, 4)} and found[(1, 1)][0] == found[(3, 1)][0] == 13
+
+
+def test_every_layout_of_every_item_is_found(spark):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    docs = {}
+    for k, (i, t) in enumerate(items):
+        words = t.split()
+        docs[3 * k] = (i, "It was said that " + t + " and so on.")
+        docs[3 * k + 1] = (i, "It was said that " + t.upper() + " and so on.")
+        docs[3 * k + 2] = (i, "\n".join(" ".join(words[n : n + 4]) for n in range(0, len(words), 4)))
+    found = set(_found(spark, [(d, t) for d, (_, t) in docs.items()], items))
+    assert {(d, i) for d, (i, _) in docs.items()} <= found
+
+
+def test_a_long_item_and_its_windows(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(2000)]
+    long = " ".join(words)
+    got = _found(spark, [(1, "Before. " + long + " behind"), (2, " ".join(words[100:112])), (3, " ".join(words[100:113]))], [(1, long)])
+    assert {k: n for k, (n, _) in got.items()} == {(1, 1): 1993, (3, 1): 6}
 
 
 def test_items_of_numbers_are_found(spark):
@@ -203,7 +224,9 @@ def test_items_of_numbers_are_found(spark):
         (4, "Well. " + row),
         (5, "Well. Sort 1 2 3 4 5 6 7 8 9 0 now"),
     ]
-    assert _dropped(spark, docs, [(1, total.format(*range(12, 42, 3))), (2, row)]) == {1, 2, 4}
+    items = [(1, total.format(*range(12, 42, 3))), (2, row)]
+    assert _dropped(spark, docs, items) == {1, 2, 4}
+    assert set(_found(spark, docs, items)) == {(1, 1), (2, 1), (4, 2)}
 
 
 def test_stated_loss_of_the_join():
