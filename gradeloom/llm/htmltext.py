@@ -95,10 +95,31 @@ _NAMING = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 _NAME = re.compile(r"[a-z]+", re.I)
 
 
+class Element:
+    """An open element, linked to the one around it; what the labeller reads of its path is worked out once."""
+
+    __slots__ = ("above", "depth", "name", "role", "tag", "vector")
+
+    def __init__(self, name: str, above: Element | None):
+        self.name, self.above = name, above  # tag and names
+        self.tag = name.split(" ", 1)[0]
+        self.depth = above.depth + 1 if above else 1
+        self.role: tuple[bool, bool] | None = None
+        self.vector: np.ndarray | None = None
+
+
+def element_path(*names: str) -> Element | None:
+    """The innermost of elements nested in this order."""
+    e = None
+    for name in names:
+        e = Element(name, e)
+    return e
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # one string per element: tag and names
+    path: Element | None
     links: float  # share of the text inside links
 
 
@@ -110,20 +131,28 @@ def _element(tag: str, attributes: str) -> str:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in page order; text with character references decoded and white space folded."""
+    """Leaf blocks of a page in page order; text with character references decoded and white space folded.
+
+    Time and memory grow with the length of the page, however deep its elements nest.
+    """
     page = page or ""
-    stack: list[str] = []
+    stack: list[Element] = []
+    levels: dict[str, list[int]] = {}  # where in the stack a tag is open
     out: list[Block] = []
     held: list[str] = []
     linked = depth_a = at = 0
     in_head = False
 
+    def close(level: int) -> None:
+        while len(stack) > level:
+            levels[stack.pop().tag].pop()
+
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple(stack), min(1.0, linked / len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(1.0, linked / len(text))))
             held.clear()
         linked = 0
 
@@ -142,9 +171,9 @@ def blocks(page: str | None) -> list[Block]:
         tag = m["tag"].lower()
         if in_head and not m["end"] and tag not in HEAD:
             flush()
-            in_head, tags = False, [e.split(" ", 1)[0] for e in stack]
-            if "head" in tags:
-                del stack[tags.index("head") :]
+            in_head = False
+            if levels.get("head"):
+                close(levels["head"][0])
         if tag in INLINE:
             if tag == "a":
                 depth_a = max(0, depth_a + (-1 if m["end"] else 1))
@@ -157,47 +186,64 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         depth_a = 0
-        tags = [e.split(" ", 1)[0] for e in stack]
         if m["end"]:
-            if tag in tags:
-                del stack[len(tags) - 1 - tags[::-1].index(tag) :]
+            if levels.get(tag):
+                close(levels[tag][-1])
             continue
-        if tag in CLOSES_P and tags and tags[-1] == "p":
-            stack.pop()
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and tags and tags[-1] == tag:
-            stack.pop()
+        top = stack[-1].tag if stack else ""
+        if (tag in CLOSES_P and top == "p") or (tag in ("li", "dt", "dd", "tr", "td", "th", "option") and top == tag):
+            close(len(stack) - 1)
         if not m["rest"].endswith("/"):
-            stack.append(_element(tag, m["rest"]))
+            levels.setdefault(tag, []).append(len(stack))
+            stack.append(Element(_element(tag, m["rest"]), stack[-1] if stack else None))
             in_head = in_head or tag == "head"
     say(page[at:])
     flush()
     return out
 
 
-def plain_role(path: tuple[str, ...]) -> float:
+def _unknown(e: Element | None, what: str) -> list[Element]:
+    """The elements from the outermost on whose ``what`` is not worked out yet, down to ``e``."""
+    chain = []
+    while e is not None and getattr(e, what) is None:
+        chain.append(e)
+        e = e.above
+    return chain[::-1]
+
+
+def plain_role(path: Element | None) -> float:
     """The label of the sample: 1 for main text by its names."""
-    names = {n for e in path for n in e.split(" ")}
-    return float(bool(names & MAIN_NAMES) and not names & SIDE_NAMES)
+    if path is None:
+        return 0.0
+    for e in _unknown(path, "role"):
+        main, side = e.above.role if e.above else (False, False)
+        names = set(e.name.split(" "))
+        e.role = (main or bool(names & MAIN_NAMES), side or bool(names & SIDE_NAMES))
+    return float(path.role == (True, False))
+
+
+def _path_vector(path: Element) -> np.ndarray:
+    """Signed counts of the hashed tags and names of all elements of a path."""
+    for e in _unknown(path, "vector"):
+        above = e.above.vector if e.above else np.zeros(PATH_DIMS, dtype=np.float32)
+        if e.name in ("html", "body"):
+            e.vector = above
+            continue
+        e.vector = above.copy()
+        for name in e.name.split(" "):
+            h = zlib.crc32(name.encode())
+            e.vector[h % PATH_DIMS] += 1.0 if h & 0x10000 else -1.0
+    return path.vector
 
 
 def features(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), DIMS), dtype=np.float32)
     n = max(1, len(page) - 1)
-    known: dict[tuple[str, ...], np.ndarray] = {}
     for i, b in enumerate(page):
-        if b.path not in known:
-            part = np.zeros(PATH_DIMS, dtype=np.float32)
-            for e in b.path:
-                if e in ("html", "body"):
-                    continue
-                for name in e.split(" "):
-                    h = zlib.crc32(name.encode())
-                    part[h % PATH_DIMS] += 1.0 if h & 0x10000 else -1.0
-            if b.path:
-                h = zlib.crc32(b"leaf " + b.path[-1].encode())
-                part[h % PATH_DIMS] += 0.5
-            known[b.path] = part
-        out[i, :PATH_DIMS] = known[b.path]
+        if b.path is not None:
+            out[i, :PATH_DIMS] = _path_vector(b.path)
+            h = zlib.crc32(b"leaf " + b.path.name.encode())
+            out[i, h % PATH_DIMS] += 0.5
         words = b.text.split(" ")
         hashes = np.fromiter((zlib.crc32(w.lower().encode()) for w in words), dtype=np.int64, count=len(words))
         out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(hashes % WORD_DIMS, minlength=WORD_DIMS) / len(words)
@@ -206,7 +252,7 @@ def features(page: list[Block]) -> np.ndarray:
             b.links,
             min(1.0, 10 * sum(b.text.count(c) for c in ".,;!?") / len(b.text)),
             i / n,
-            min(1.0, len(b.path) / 12),
+            min(1.0, (b.path.depth if b.path else 0) / 12),
             min(1.0, len(words) / 40),
         )
     return out
@@ -322,7 +368,7 @@ def rebuilt(page: list[Block], labels: np.ndarray, others: list[str], r: np.rand
         for _ in range(int(r.integers(1, 6))):
             words = one(others).split(" ")
             words = words[: int(r.integers(1, max(2, len(words) + 1)))]
-            out.append((Block(" ".join(words), path, float(r.random() < 0.4)), 0.0))
+            out.append((Block(" ".join(words), element_path(*path), float(r.random() < 0.4)), 0.0))
 
     for _ in range(int(r.integers(0, 4))):
         side(outer)
@@ -332,8 +378,9 @@ def rebuilt(page: list[Block], labels: np.ndarray, others: list[str], r: np.rand
             continue
         if r.random() < 0.5:
             usual = one(MAIN_LEAVES)  # neighbours tend to stand under the same element
-        leaf = b.path[-1] if r.random() < 0.4 else usual
-        out.append((Block(b.text, (*inside, *(leaf.split(" ") if leaf in MAIN_LEAVES else (leaf,))), b.links), 1.0))
+        leaf = b.path.name if r.random() < 0.4 else usual
+        path = element_path(*inside, *(leaf.split(" ") if leaf in MAIN_LEAVES else (leaf,)))
+        out.append((Block(b.text, path, b.links), 1.0))
         if r.random() < 0.05:
             side(inside)
     if r.random() < 0.4:

@@ -62,6 +62,15 @@ def test_odd_pages(spark, labeller):
     assert bare[5] == " ".join(["word here"] * 3000)
 
 
+def test_deep_nesting_is_linear():
+    start = time.perf_counter()
+    page = htmltext.blocks("<div>a " * 50_000 + "</div>" * 50_000 + "<article><p>b")
+    assert len(page) == 50_001 and page[49_999].path.depth == 50_000 and page[-1].path.depth == 2
+    assert [htmltext.plain_role(b.path) for b in page[-2:]] == [0.0, 1.0]
+    x = htmltext.features(page)
+    assert np.abs(x[-1]).sum() < 20 and time.perf_counter() - start < 20
+
+
 def test_blocks():
     page = "<body><div>a &lt;b&gt;  <b>c</b>d<br>e<script>no</script><p>x&nbsp;y<p>z</div><ul><li>1<li>2</ul>tail &am"
     assert [b.text for b in htmltext.blocks(page)] == ["a <b> cd e", "x y", "z", "1", "2", "tail &am"]
