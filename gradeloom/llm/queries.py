@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, htmltext, kneserney, langid, merkle, mixing, pii, quality, sharding, simjoin, urlfilter, vectorcode, warc
-from .common import table
+from .common import BLANK_RUN, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,7 +114,7 @@ with d as (
     greatest({mixing.LEAST_QUALITY}, 1.0::double - 8.0::double
       * length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>{{}}\[\]\\^~=+_]+', '', 'g'))
       / greatest(length(coalesce(text, '')), 1)) as quality,
-    (('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '~')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+    (('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '~') || '|' || coalesce(text, '~')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from documents
 ),
 s as (select source, sum(size)::bigint as source_size from d group by source),
@@ -137,12 +137,18 @@ e as (
 ),
 k as (
   select d.doc_id, d.source, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size::double as rest,
-    sum(d.size) over (partition by d.source order by -ln(u) / quality, d.doc_id rows unbounded preceding) as upto
+    row_number() over keys as nth, sum(d.size) over keys as upto
   from d join e on d.source is not distinct from e.source
+  window keys as (partition by d.source order by -ln(u) / quality, d.doc_id, d.size rows unbounded preceding)
+),
+gap as (select source, any_value(rest) - coalesce(max(upto) filter (upto <= rest), 0) as gap from k group by source),
+last as (
+  select k.source, arg_min(nth, (abs(gap - size), nth)) as nth from k join gap on k.source is not distinct from gap.source
+  where upto > rest and size > 0 and abs(gap - size) < gap group by k.source
 )
 select doc_id, size, source_size, round(target, 4) as target,
-  (size * (epochs + case when rest > 0 and 2 * upto - size <= 2 * rest then 1 else 0 end))::bigint as taken
-from k
+  (size * (epochs + case when upto <= rest or k.nth = last.nth then 1 else 0 end))::bigint as taken
+from k left join last on k.source is not distinct from last.source
 """
 
 
@@ -186,57 +192,69 @@ def _canonical(text: str) -> str:
     def sub(inner: str, pattern: str, to: str) -> str:
         return f"regexp_replace({inner}, '{pattern}', '{to}', 'g')"
 
-    numbers = sub(sub(text, decontam.NUMBER, "0"), decontam.UNIT_AFTER, r"\11")
+    numbers = sub(sub(sub(text, BLANK_RUN, " "), decontam.NUMBER, "0"), decontam.UNIT_AFTER, r"\11")
     named = sub(numbers, decontam.OPENING, r"\12")
     named = sub(sub(named, decontam.MID_NAME, r"\12"), decontam.MID_NAME, r"\12")
     return _surface(named)
 
 
 def _surface(text: str) -> str:
-    return rf"lower(regexp_replace({text}, '[^\p{{L}}\p{{N}}\s]+', '', 'g'))"
+    return rf"lower(regexp_replace({text}, '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g'))"
+
 
+def _readings() -> str:
+    """``c``: the tokens of all three forms, the last of them as they stand."""
+    text = "coalesce(text, '')"
+    typed = _surface(f"regexp_replace({text}, '{decontam.NUMBER}', '0', 'g')")
+    return ", ".join(rf"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')" for t in (_canonical(text), typed, _surface(text)))
 
-_TOKENS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_LITERALS = "len(list_filter(list_slice({}, p + 1, p + width), lambda t: not regexp_matches(t, '^[012]+$')))"
 DECONTAM_SQL = rf"""
-with b as (
-  select item_id, {_TOKENS.format(_canonical("coalesce(text, '')"))} as c, {_TOKENS.format(_surface("coalesce(text, '')"))} as w from benchmark
-),
-d as (
-  select doc_id, {_TOKENS.format(_canonical("coalesce(text, '')"))} as c, {_TOKENS.format(_surface("coalesce(text, '')"))} as w from documents
-),
+with b as (select item_id, [{_readings()}] as cs from benchmark),
+d as (select doc_id, [{_readings()}] as cs from documents),
 bp as (
-  select item_id, c, least(len(c), {decontam.WINDOW}) as width, unnest(range(0, len(c) - least(len(c), {decontam.WINDOW}) + 1)) as ipos
-  from b where len(c) >= {decontam.MIN_LITERALS}
+  select item_id, cs, form, width, len(cs[1]) - width + 1 as n_windows, p, list_slice(cs[form + 1], p + 1, p + width) as win
+  from (select *, unnest(range(0, len(cs[1]) - width + 1)) as p from (
+    select *, unnest([0, 1, 2]) as form, least(len(cs[1]), {decontam.WINDOW}) as width from b where len(cs[1]) >= {decontam.MIN_LITERALS}))
 ),
 bw as (
-  select item_id, width, len(c) - width + 1 as n_windows, ipos, list_slice(c, ipos + 1, ipos + width) as win from bp
-  where len(list_filter(list_slice(c, ipos + 1, ipos + width), lambda t: not regexp_matches(t, '^[012]+$'))) >= {decontam.MIN_LITERALS}
+  select item_id, form, width, n_windows, p, win from bp where case when form < 2
+    then {_LITERALS.format("cs[form + 1]")} >= {decontam.MIN_LITERALS} else {_LITERALS.format("cs[2]")} < {decontam.MIN_LITERALS} end
 ),
-dp as (
-  select doc_id, c, v.width, unnest(range(0, len(c) - v.width + 1)) as pos from d, (select distinct width from bw) v where len(c) >= v.width
+dw as (
+  select doc_id, form, width, p, list_slice(cs[form + 1], p + 1, p + width) as win from (
+    select doc_id, cs, v.form, v.width, unnest(range(0, len(cs[1]) - v.width + 1)) as p
+    from d, (select distinct form, width from bw) v where len(cs[1]) >= v.width)
 ),
 hits as (
-  select doc_id, item_id, n_windows, pos - ipos as diagonal, ipos
-  from (select doc_id, width, pos, list_slice(c, pos + 1, pos + width) as win from dp) x join bw using (width, win)
+  select doc_id, item_id, form, n_windows, dw.p - bw.p as diagonal, bw.p as p, 0 as more from dw join bw using (form, width, win)
+),
+runs as (select distinct doc_id, item_id, form, n_windows, diagonal from hits),
+whole as (
+  select doc_id, item_id, form, n_windows, diagonal, p, 1 as more
+  from (select runs.*, width, p, win, d.cs as dcs from runs join bp using (item_id, form, n_windows) join d using (doc_id))
+  where p + diagonal >= 0 and list_slice(dcs[form + 1], p + diagonal + 1, p + diagonal + width) = win
 ),
-runs as (select doc_id, item_id, n_windows, diagonal, list(distinct ipos) as places from hits group by all),
+places as (from hits union all from whole),
 slots as (
-  select distinct doc_id, item_id, diagonal, t
-  from (select doc_id, item_id, diagonal, unnest(range(p, p + {decontam.WINDOW})) as t from (select *, unnest(places) as p from runs))
+  select distinct doc_id, item_id, form, diagonal, more, t
+  from (select *, unnest(range(p, p + {decontam.WINDOW})) as t from places)
 ),
 pairs as (
-  select s.*, b.w[t + 1] as a, d.w[t + diagonal + 1] as v from slots s join b using (item_id) join d using (doc_id)
-  where t < len(b.c) and regexp_matches(b.c[t + 1], '^[012]+$')
+  select s.*, b.cs[3][t + 1] as a, d.cs[3][t + diagonal + 1] as v from slots s join b using (item_id) join d using (doc_id)
+  where t < len(b.cs[1]) and regexp_matches(b.cs[form + 1][t + 1], '^[012]+$')
 ),
-kept as (
-  select r.*, coalesce(n, 0) as n from runs r left join (
-    select doc_id, item_id, diagonal, count(*) as n, count(distinct a) as x, count(distinct a || ' ' || v) as y from pairs group by all
-  ) q using (doc_id, item_id, diagonal)
+tried as (
+  select r.*, coalesce(n, 0) as n from (select distinct doc_id, item_id, form, n_windows, diagonal, more from places) r left join (
+    select doc_id, item_id, form, diagonal, more, count(*) as n, count(distinct a) as x, count(distinct a || ' ' || v) as y from pairs group by all
+  ) q using (doc_id, item_id, form, diagonal, more)
   where coalesce(x, 0) = coalesce(y, 0)
 ),
+kept as (select doc_id, item_id, form, n_windows, diagonal, max(more) as more, arg_max(n, more) as n from tried group by all),
 total as (
   select doc_id, item_id, n_windows, count(distinct p) as n_matched
-  from (select doc_id, item_id, n_windows, unnest(places) as p from kept) group by all
+  from kept join places using (doc_id, item_id, form, n_windows, diagonal, more) group by all
 )
 select doc_id, item_id, n_windows, n_matched, sum(n)::bigint as n_slots
 from total join kept using (doc_id, item_id, n_windows) group by all

@@ -1,5 +1,6 @@
 """Quality ledger, mixing, sharding and URL rules against plain specifications."""
 
+import hashlib
 import math
 import random
 import re
@@ -114,6 +115,54 @@ def test_targets_are_met(spark):
     assert sorted(map(key, again)) == sorted(map(key, mixed))
 
 
+def test_mix_equals_a_plain_draw(spark):
+    """Row by row in key order, over null ids, repeated rows and equal ids with other texts."""
+    r = random.Random(8)
+    rows = [(r.choice([None, i % 9, i]), "w%d " % (i % 50) * r.choice([1, 2, 5, 40]), "abc"[min(2, i % 5)]) for i in range(300)]
+    rows += [(7, "same text here", "a")] * 90 + [(None, None, "a"), (None, "", None)]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(_words(t))
+    want = Counter()
+    for s, target in _targets(sizes).items():
+        mine = []
+        for i, t, x in rows:
+            if x == s:
+                text = "~" if t is None else t
+                u = (int(hashlib.md5(f"17|{'~' if i is None else i}|{text}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                mine.append((-math.log(u), i is not None, i or 0, len(_words(t)), i, t))
+        mine.sort(key=lambda k: k[:4])
+        epochs = int(target // sizes[s]) if sizes[s] else 0
+        gap, cut, counts = target - epochs * sizes[s], 0, [epochs] * len(mine)
+        while cut < len(mine) and mine[cut][3] <= gap:
+            gap -= mine[cut][3]
+            counts[cut] += 1
+            cut += 1
+        later = [(abs(gap - mine[k][3]), k) for k in range(cut, len(mine)) if mine[k][3]]
+        if later and min(later)[0] < gap:
+            counts[min(later)[1]] += 1
+        for k, n in zip(mine, counts, strict=True):
+            want[(k[4], s, k[3], n * k[3])] += 1
+    df = _docs(spark, rows)
+    got = mixing.mix(df).collect()
+    assert Counter((m["doc_id"], m["source"], m["size"], m["taken"]) for m in got) == want
+    written = Counter((x["doc_id"], x["source"], len(_words(x["text"]))) for x in mixing.apply_mix(df).where("size is not null").collect())
+    plan = Counter()
+    for (i, s, z, taken), n in want.items():
+        if z:
+            plan[(i, s, z)] += n * taken // z
+    assert {k: v for k, v in written.items() if k[2]} == {k: v for k, v in plan.items() if v}
+
+
+def test_rows_without_ids_are_drawn_one_by_one(spark):
+    texts = [f"t{i} " * (6 + i % 7) for i in range(4000)]
+    df = _docs(spark, [(None, t, "a" if i < 3900 else "b") for i, t in enumerate(texts)])
+    mixed = mixing._mixed(df, 17).where("source = 'a'").collect()
+    assert len({m["tie"] for m in mixed}) == 3900
+    taken = {z: np.mean([m["copies"] for m in mixed if m["size"] == z]) for z in range(6, 13)}
+    assert max(taken.values()) - min(taken.values()) < 0.1
+
+
 def test_mixed_rows_and_empty_mixes(spark):
     rows = [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(200)] + [(3, "w w w", "b")] * 2
     df = _docs(spark, rows)
