@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as geometry
 from ..functions import prompts, text
-from ..operators import infer, scoring, sweep
-from ..session import materialise
+from ..operators import infer, ledger, scoring, sweep
+from ..session import materialise, scratch_path
 from . import adapters
 from .evaluate import evaluate_run as run_evaluation
 from .evaluate import sweep_evaluate as run_sweep
@@ -361,6 +361,24 @@ def _load(refs):
     return [r.encode() for r in refs]
 
 
+@register(
+    "resume_inference",
+    f"""with p as (select *, {_prompt("'rgb'", "true", "false")} as p from qa where coalesce(question, '') <> '')
+select source_input, row_idx, {_ECHO.format(p='p')} as raw_output, cast(null as varchar) as error, true as asked_once from p""",
+    ["qa"],
+)
+def resume_inference(spark, sf_dir):
+    """A job that ends after two of five groups, and a second one that asks the rest."""
+    rows = adapters.qa(spark, sf_dir).where(~text.is_blank(F.col("question")))
+    staged = prompts.with_prompt_parts(rows, F.lit("rgb"), F.lit(False), F.col("temp_summary"))
+    requests, path = staged.select(*_IDS, "question", "options", "prompt"), scratch_path(spark, "ledger")
+    ask = lambda part: infer.batch_inference(part, infer.EchoRunner)
+    ledger.resume_inference(requests, path, ask, groups=5, stop_after=2)
+    answered = ledger.resume_inference(requests, path, ask, groups=5)
+    once = ledger.answers(spark, path).agg((F.max("times_asked") == 1).alias("b")).scalar()
+    return answered.select(*_IDS, "raw_output", "error", once.alias("asked_once"))
+
+
 @register(
     "image_load_errors",
     f"""with p as (select *, {_prompt("'rgb'", "true", "false")} as p from qa where coalesce(question, '') <> '')
