@@ -74,10 +74,10 @@ def number_text(c: Column) -> Column:
 
 def temperature_block(temp: Column) -> Column:
     """The temperature text of a row, null without a summary."""
-    pieces = [F.lit(TEMP_HEAD)]
-    for field, label in TEMP_LINES:
-        pieces += [F.lit(label), number_text(temp[field]), F.lit("\n")]
-    return F.when(temp.isNotNull(), F.concat(*pieces, F.lit(TEMP_TAIL)))
+    # one expression over the lines: four copies of the number's text make a method too large for the JIT compiler
+    lines = F.array(*[F.struct(F.lit(label).alias("label"), temp[field].alias("value")) for field, label in TEMP_LINES])
+    shown = F.transform(lines, lambda line: F.concat(line["label"], number_text(line["value"]), F.lit("\n")))
+    return F.when(temp.isNotNull(), F.concat(F.lit(TEMP_HEAD), F.array_join(shown, ""), F.lit(TEMP_TAIL)))
 
 
 def context_of(mode: Column, block: Column) -> Column:

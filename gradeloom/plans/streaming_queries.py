@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import review, scoring
+from ..operators import review, scoring, validate
 from ..session import scratch_path
 from ..streaming import jobs
 from . import adapters
@@ -92,3 +92,24 @@ def progress_metrics(spark, sf_dir):
         F.sum("processed").alias("processed"), F.sum("correct").alias("correct"),
         F.sum("exceptions").alias("exceptions"), (F.count_distinct("epoch") > 1).alias("several_batches"),
     )
+
+
+@register(
+    "observed_progress",
+    """select count(*) filter (c.skip_reason is null) as processed, count(*) filter (c.skip_reason is null and s.correct) as correct,
+  count(*) filter (c.skip_reason is null and s.error is not null) as exceptions, count(*) filter (c.skip_reason is not null) as skipped,
+  0 as left_at_end, true as fell from checked c join scored s using (source_input, row_idx)""",
+    ["checked", "scored"],
+)
+def observed_progress(spark, sf_dir):
+    """Counters that the batches observed while they wrote; ``fell`` says that what is left fell with every batch."""
+    queue = validate.join_file_inventory(adapters.preds_raw(spark, sf_dir), adapters.files(spark, sf_dir), "rgb_thermal")
+    scored = scoring.score_predictions(queue).select(jobs.OUTCOME.names).repartition(12, "row_idx")
+    stream = jobs.read_action_stream(spark, _written(spark, scored, "outcomes"), jobs.OUTCOME, FILES_PER_BATCH)
+    out, checkpoint = _places(spark, "observed")
+    jobs.stream_progress(stream, out, checkpoint).finish()
+    batches = jobs.observed_progress(spark, out, queue.count())
+    return batches.agg(
+        *[F.sum(c).alias(c) for c in ("processed", "correct", "exceptions", "skipped")], F.min("left").alias("left_at_end"),
+        ((F.count_distinct("left") == F.count(F.lit(1))) & (F.count(F.lit(1)) > 1)).alias("fell"),
+    )

@@ -11,13 +11,16 @@ then only read the epochs after it. State is kept in RocksDB.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Window as W
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import review, scoring
 from ..schema import ACTION
@@ -199,3 +202,88 @@ def progress_metrics(predictions: DataFrame, out: str, checkpoint: str) -> Strea
         counters.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return _start(predictions, out, checkpoint, write, mode="append")
+
+
+OUTCOME = T.StructType([*PREDICTION.fields, T.StructField("skip_reason", T.StringType())])
+_COUNTED = "epoch long, processed long, correct long, exceptions long, skipped long"
+
+
+def _counters() -> list[Column]:
+    """Counters of rows that carry ``skip_reason``, null for those that were processed."""
+    done = F.col("skip_reason").isNull()
+    return [
+        F.count_if(done).alias("processed"),
+        F.count_if(done & F.col("correct")).alias("correct"),
+        F.count_if(done & F.col("error").isNotNull()).alias("exceptions"),
+        F.count_if(~done).alias("skipped"),
+    ]
+
+
+class BatchCounters(StreamingQueryListener):
+    """Keeps the metrics observed under one name, by micro-batch: a few numbers each."""
+
+    def __init__(self, name: str):
+        self.name, self.batches, self.ended = name, {}, {}
+
+    def onQueryStarted(self, event):  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event):  # noqa: N802
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None and event.progress.numInputRows:
+            self.batches[event.progress.batchId] = row.asDict()
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def wait(self, run: str, seconds: float) -> None:
+        self.ended.setdefault(run, threading.Event()).wait(seconds)
+
+
+class ObservedRun:
+    """A started stream of outcomes and the counters of its batches."""
+
+    def __init__(self, query: StreamingQuery, counters: BatchCounters, spark: SparkSession, out: str):
+        self.query, self.counters, self.spark, self.out = query, counters, spark, out
+
+    def finish(self, patience: float = 60.0) -> None:
+        """Wait for the end of the stream and write the counters of its batches, also after a failure."""
+        try:
+            self.query.awaitTermination()
+        finally:
+            # events come behind the batches; what has not come in time is counted from the sink
+            self.counters.wait(str(self.query.runId), patience)
+            self.spark.streams.removeListener(self.counters)
+            rows = [(e, *(c[k] for k in ("processed", "correct", "exceptions", "skipped"))) for e, c in sorted(self.counters.batches.items())]
+            self.spark.createDataFrame(rows, _COUNTED).coalesce(1).write.mode("append").json(f"{self.out.rstrip('/')}-progress")
+
+
+def stream_progress(outcomes: DataFrame, out: str, checkpoint: str) -> ObservedRun:
+    """Write the outcomes of an evaluation as they arrive, and count them in the same pass.
+
+    ``outcomes`` are rows of :data:`OUTCOME`. The counters are observed metrics of the
+    batch that writes the rows, so no second job reads them.
+    """
+    spark, name = outcomes.sparkSession, f"progress-{uuid.uuid4().hex}"
+    counters = BatchCounters(name)
+    spark.streams.addListener(counters)
+    query = _start(outcomes.observe(name, *_counters()), out, checkpoint, _sink(out), mode="append")
+    return ObservedRun(query, counters, spark, out)
+
+
+def observed_progress(spark: SparkSession, out: str, expected: int) -> DataFrame:
+    """``epoch, processed, correct, exceptions, skipped, left``: per batch, and what was then still to come of ``expected``.
+
+    Batches whose counters were lost with their driver are counted from the rows they
+    wrote; a batch that ran twice counts once.
+    """
+    told = spark.read.schema(_COUNTED).json(f"{out.rstrip('/')}-progress").dropDuplicates(["epoch"])
+    log = spark.read.parquet(out).withColumn("epoch", F.col("epoch").cast("bigint"))
+    lost = log.select("epoch").distinct().join(told.select("epoch"), "epoch", "left_anti")
+    if not lost.isEmpty():
+        told = told.unionByName(log.join(lost, "epoch").groupBy("epoch").agg(*_counters()))
+    seen = F.sum(F.col("processed") + F.col("skipped")).over(W.orderBy("epoch"))  # one row per batch
+    return told.withColumn("left", F.lit(expected) - seen)
