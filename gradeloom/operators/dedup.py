@@ -150,8 +150,10 @@ def keyframe_grouping(frames: DataFrame, match: Matcher, chunk_rows: int = CHUNK
     frames are cut into sorted ranges that are folded at the same time, each as
     if its first frame were a keyframe. Then every range whose true incoming
     keyframe differs is folded again until nothing changes. Sequences started
-    from different keyframes usually meet within a few frames, so this takes few
-    rounds, and the outcome is that of one sequential pass.
+    from different keyframes usually meet within a few frames, and a scene of any
+    length is crossed at once (:func:`_arriving`), so this takes few rounds. All
+    ranges before the first wrong one are right, and that one gets its true keyframe
+    in the next round; the outcome is that of one sequential pass.
     """
     spark = frames.sparkSession
     frames = frames.select(
@@ -177,7 +179,7 @@ def keyframe_grouping(frames: DataFrame, match: Matcher, chunk_rows: int = CHUNK
     heads = ranged.groupBy("chunk", "folder").agg(F.count(F.lit(1)).alias("__rows")).checkpoint()
     used = None
     while True:
-        arriving = _arriving(heads, folded.where(F.col("path").isNull())).checkpoint()
+        arriving = _arriving(heads, folded.where(F.col("path").isNull()), used).checkpoint()
         changed = arriving
         if used is not None:
             before = used.select("chunk", "folder", F.col("in_path").alias("used_path"))
@@ -200,16 +202,26 @@ def keyframe_grouping(frames: DataFrame, match: Matcher, chunk_rows: int = CHUNK
     return folded.where(F.col("path").isNotNull()).select("folder", "path", "keyframe")
 
 
-def _arriving(heads: DataFrame, states: DataFrame) -> DataFrame:
-    """Incoming keyframe of every range that continues its folder."""
-    tail = states.select(
-        "chunk", "folder", F.col("keyframe").alias("in_path"), F.col("state_rgb").alias("in_rgb"), F.col("state_thr").alias("in_thr")
+def _arriving(heads: DataFrame, states: DataFrame, used: DataFrame | None) -> DataFrame:
+    """Incoming keyframe of every range that continues its folder.
+
+    A range that its last incoming keyframe passed through whole makes no keyframe of
+    its own, so it hands on whatever comes: the keyframe is taken from the last range
+    before it that did make one. A long scene is then crossed in one round.
+    """
+    tail = F.struct(
+        F.col("keyframe").alias("in_path"), F.col("state_rgb").alias("in_rgb"), F.col("state_thr").alias("in_thr")
     )
-    nth = W.partitionBy("folder").orderBy("chunk")
-    previous = heads.withColumn("prev_chunk", F.lag("chunk").over(nth)).where(F.col("prev_chunk").isNotNull())
+    known = heads.join(states.select("chunk", "folder", tail.alias("tail")), ["chunk", "folder"], "left")
+    if used is not None:
+        came = used.select("chunk", "folder", F.col("in_path").alias("came"))
+        passed = F.coalesce(F.col("tail.in_path") == F.col("came"), F.lit(False))
+        known = known.join(came, ["chunk", "folder"], "left").withColumn("tail", F.when(~passed, F.col("tail")))
+    earlier = W.partitionBy("folder").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     return (
-        previous.join(tail.withColumnRenamed("chunk", "prev_chunk"), ["prev_chunk", "folder"])
-        .select("chunk", "folder", "in_path", "in_rgb", "in_thr")
+        known.withColumn("last", F.last("tail", ignorenulls=True).over(earlier))
+        .where(F.col("last").isNotNull())
+        .select("chunk", "folder", "last.*")
     )
 
 
