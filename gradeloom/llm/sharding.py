@@ -18,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_bytes
 
 RING_BITS = 40
+SLICE_BITS = 12
 PIECE = 4096  # ranks of a repeated row that are written out at once
 
 
@@ -86,12 +86,18 @@ def ring_hash(seed: int, key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 64 - RING_BITS)
 
 
-def _arc_of(positions: np.ndarray):
-    @F.pandas_udf("int")
-    def arc(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(positions, at.to_numpy()) % len(positions))
+def _with_arc(rows: DataFrame, positions: np.ndarray) -> DataFrame:
+    """``rows`` with ``arc``, the first virtual node at or clockwise of ``at``.
 
-    return arc
+    The ring is cut into 2**``SLICE_BITS`` slices; a row looks only at the nodes of its own.
+    """
+    slices = np.arange(2**SLICE_BITS + 1, dtype=np.int64) << (RING_BITS - SLICE_BITS)
+    starts = np.searchsorted(positions, slices)
+    table = [(k, int(a), positions[a:b].tolist()) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:]))]
+    nodes = rows.sparkSession.createDataFrame(table, "slice int, start int, nodes array<long>")
+    found = rows.withColumn("slice", F.shiftright("at", RING_BITS - SLICE_BITS).cast("int")).join(F.broadcast(nodes), "slice")
+    passed = F.size(F.filter("nodes", lambda p: p < F.col("at")))
+    return found.withColumn("arc", (F.col("start") + passed) % len(positions)).drop("slice", "start", "nodes")
 
 
 def shard(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
@@ -108,7 +114,7 @@ def shard(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
     rows = rows.withColumn("at", ring_hash(ring.seed, key))
     # Rows that repeat become one row with a count before anything is sorted.
     rows = rows.groupBy("doc_id", "size", "text_crc32", "at").agg(F.count(F.lit(1)).alias("n"))
-    rows = materialise(rows.withColumn("arc", _arc_of(positions)("at")), "ring-keys")
+    rows = materialise(_with_arc(rows, positions), "ring-keys")
 
     counts = np.zeros(len(points), dtype=np.int64)
     for r in rows.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # one row per virtual node at most

@@ -289,3 +289,11 @@ def test_rules_are_indexed_by_whole_tokens():
     assert urlfilter.UrlRule("block", "example.com/en", True).tokens() == ["example", "com"]
     assert urlfilter.UrlRule("block", "||free-bets.").tokens() == ["free", "bets"]
     assert urlfilter.UrlRule("block", "ads*track/x").tokens() == []
+
+
+def test_arcs_are_found_without_python(spark):
+    positions = np.array([0, 1, 5, 2**28, 2**28 + 1, 2**39, 2**40 - 1], dtype=np.int64)
+    at = sorted({max(0, min(2**40 - 1, int(p) + d)) for p in [*positions, 3 * 2**28, 2**40 - 2**28] for d in (-1, 0, 1)})
+    found = sharding._with_arc(spark.createDataFrame([(a,) for a in at], "at long"), positions)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["at"]: r["arc"] for r in found.collect()} == {a: int(np.searchsorted(positions, a)) % len(positions) for a in at}
