@@ -438,7 +438,7 @@ def _chunked(docs: DataFrame, keep: list[str], train: Column) -> tuple[DataFrame
     spark = docs.sparkSession
     row = F.monotonically_increasing_id()
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.col("text"), train.alias("train"), text_bytes(F.col("text")).alias("__bytes"), row.alias("__row")
+        *[F.col(f"`{c}`") for c in keep if c != "text"], F.col("text"), train.alias("train"), text_bytes(F.col("text")).alias("__bytes"), row.alias("__row")
     ).withColumn("chunk", F.expr(f"__row div {CHUNK_ROWS}"))
     # Bucketing needs the number of buckets first; the size of the texts is one number.
     size = docs.agg(F.sum(text_bytes(F.col("text")))).first()[0] or 0
@@ -466,7 +466,7 @@ def _score_rows(chunks: DataFrame, answers: dict[int, DataFrame], levels: dict[i
         told = part if told is None else told.unionByName(part)
     names = ["n_tokens", "n_known", "base_score", "score"]
     kinds = ", ".join([f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens long, n_known long, base_score double, score double"])
-    return _with_answers(chunks, [*keep, "text"], told).applyInArrow(_scorer(levels, order, keep, names), kinds)
+    return _with_answers(chunks, list(dict.fromkeys([*keep, "text"])), told).applyInArrow(_scorer(levels, order, keep, names), kinds)
 
 
 def train_and_score(docs: DataFrame, train: Column, keep: list[str], order: int = ORDER) -> tuple[Model, DataFrame]:
