@@ -41,7 +41,8 @@ def _with_exists(rows: DataFrame, path: str, inventory: DataFrame, out: str) ->
     keyed = rows.withColumn("__path", F.when(is_blank(F.col(path)), spread).otherwise(F.col(path)))
     # a listing may repeat a path; the distinct shuffles by the key of the join
     known = inventory.select(F.col("path").alias("__path"), F.lit(True).alias(out)).distinct()
-    return keyed.join(known, "__path", "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("__path")
+    # the listing is hashed: rows of any width are neither sorted nor spilled to meet it
+    return keyed.join(known.hint("shuffle_hash"), "__path", "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("__path")
 
 
 def join_file_inventory(rows: DataFrame, inventory: DataFrame, mode: str) -> DataFrame:
