@@ -13,11 +13,13 @@ from .registry import register
 from .review_queries import _PROPAGATED_COLUMNS, PROPAGATED
 
 FILES_PER_BATCH = 4
+# Lines of a logged file. Every batch costs the driver a result of each state partition, so files are not small.
+LINES_PER_FILE = 4_000_000
 
 
 def _written(spark, df, label):
     path = scratch_path(spark, label)
-    df.write.option("maxRecordsPerFile", 200_000).json(path)
+    df.write.option("maxRecordsPerFile", LINES_PER_FILE).json(path)
     return path
 
 

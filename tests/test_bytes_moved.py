@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from gradeloom.operators import validate
+from gradeloom.plans import streaming_queries
 from gradeloom.sources import sinks
 
 ROW = "source_input string, row_idx long, question string, options array<string>, gt_answer string, rgb_path string, thermal_path string"
@@ -45,3 +46,10 @@ def test_predictions_are_written_compressed_and_read_back(spark, tmp_path):
     assert sorted(map(tuple, back.select(scored.columns).collect()), key=str) == sorted(
         map(tuple, scored.where("run_name = 'b' or row_idx < 9").collect()), key=str
     )
+
+
+def test_logged_files_are_not_cut_small(spark):
+    """A stream takes a fixed number of files a batch; small ones made the batches, and what they send to the driver, grow with the rows."""
+    path = Path(streaming_queries._written(spark, spark.range(600_000).coalesce(1), "logged").removeprefix("file:"))
+    assert len(list(path.glob("part-*"))) == 1
+    assert spark.read.schema("id long").json(str(path)).agg(F.count("id"), F.count_distinct("id")).first()[:] == (600_000, 600_000)
