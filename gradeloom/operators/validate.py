@@ -11,6 +11,8 @@ MISSING_FIELDS = "missing_fields"
 MISSING_FILES = "missing_files"
 # Rows without a path are spread over this many join keys.
 NULL_SPREAD = 1024
+# Listings of more files are hashed by partition; up to it Spark may broadcast them.
+HASHED_FILES = 1_000_000
 
 
 def required_fields(mode: str) -> Column:
@@ -35,30 +37,31 @@ def drop_temp_summary(rows: DataFrame, no_temp: Column) -> DataFrame:
     return rows.withColumn("temp_summary", F.when(~no_temp, F.col("temp_summary")))
 
 
-def _with_exists(rows: DataFrame, path: str, inventory: DataFrame, out: str) -> DataFrame:
+def _with_exists(rows: DataFrame, path: str, inventory: DataFrame, out: str, hashed: bool) -> DataFrame:
     """Left join on a path; absent paths get spread keys that match nothing."""
     spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("source_input", "row_idx"), F.lit(NULL_SPREAD)).cast("string"))
     keyed = rows.withColumn("__path", F.when(is_blank(F.col(path)), spread).otherwise(F.col(path)))
     # a listing may repeat a path; the distinct shuffles by the key of the join
     known = inventory.select(F.col("path").alias("__path"), F.lit(True).alias(out)).distinct()
-    # the listing is hashed: rows of any width are neither sorted nor spilled to meet it
-    return keyed.join(known.hint("shuffle_hash"), "__path", "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("__path")
+    # a hashed listing: rows of any width are neither sorted nor spilled to meet it
+    known = known.hint("shuffle_hash") if hashed else known
+    return keyed.join(known, "__path", "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("__path")
 
 
 def join_file_inventory(rows: DataFrame, inventory: DataFrame, mode: str) -> DataFrame:
     """Fields first, then files: ``skip_reason`` is null for eligible rows.
 
     ``inventory`` lists the existing paths. Only the columns a mode needs are
-    joined.
+    joined. Counts the listing up to ``HASHED_FILES`` first, to choose the join.
     """
     out = required_fields_filter(rows, mode)
-    found = F.lit(True)
+    found, hashed = F.lit(True), inventory.limit(HASHED_FILES + 1).count() > HASHED_FILES
     if mode in ("rgb", "rgb_thermal"):
-        out, found = _with_exists(out, "rgb_path", inventory, "rgb_exists"), F.col("rgb_exists")
+        out, found = _with_exists(out, "rgb_path", inventory, "rgb_exists", hashed), F.col("rgb_exists")
     else:
         out = out.withColumn("rgb_exists", F.lit(True))
     if mode in ("thermal", "rgb_thermal"):
-        out = _with_exists(out, "thermal_path", inventory, "thermal_exists")
+        out = _with_exists(out, "thermal_path", inventory, "thermal_exists", hashed)
         found = found & F.col("thermal_exists")
     else:
         out = out.withColumn("thermal_exists", F.lit(True))

@@ -20,7 +20,8 @@ def _rows(spark, n):
     return spark.createDataFrame([*rows, rows[0], ("f", None, "q", ["a"], "a", None, "/t/1")], ROW)
 
 
-def test_rows_are_not_sorted_to_meet_the_file_listing(spark):
+def test_rows_are_not_sorted_to_meet_a_large_file_listing(spark, monkeypatch):
+    monkeypatch.setattr(validate, "HASHED_FILES", 10)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
