@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import validate
 from gradeloom.plans import streaming_queries
-from gradeloom.sources import sinks
+from gradeloom.sources import json_files, sinks
 
 ROW = "source_input string, row_idx long, question string, options array<string>, gt_answer string, rgb_path string, thermal_path string"
 
@@ -54,3 +54,35 @@ def test_logged_files_are_not_cut_small(spark):
     path = Path(streaming_queries._written(spark, spark.range(600_000).coalesce(1), "logged").removeprefix("file:"))
     assert len(list(path.glob("part-*"))) == 1
     assert spark.read.schema("id long").json(str(path)).agg(F.count("id"), F.count_distinct("id")).first()[:] == (600_000, 600_000)
+
+
+def _whole_texts(spark):
+    entry = '{"human_answer":"%s","meta":{"question_id":"Q1","rgb_path":"/r/%s"}}'
+    texts = {
+        "c": '{"type":"checkpoint","items":{"a":' + entry % ("x", 1) + ',"b":"broken","a":' + entry % ("y", 2) + ',"n":{"human_answer":"z"},"m":{"meta":3}}}',
+        "l": '[{"question_id":"Q2","answer":"p","rgb_path":"/r/3"},{"question_id":"","answer":"q"},{"question_id":"Q3","gt_answer":null,"answer":"s"},7]',
+        "o": "{}", "bad": '[{"question_id":"Q4"}', "empty": "[]", "none": None,
+    }
+    return spark.createDataFrame([(k, k, t) for k, t in texts.items()], "path string, name string, txt string")
+
+
+def test_documents_are_parsed_once_and_both_shapes_are_read_in_one_pass(spark):
+    docs = json_files.parse_documents(_whole_texts(spark))
+    for read in (json_files.read_checkpoint, json_files.read_qa_list, json_files.read_eval_rows, json_files.read_path_records):
+        plan = read(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(StructField(type") <= 1 and plan.count("from_json(ArrayType(VariantType") <= 1
+
+
+def test_both_shapes_in_one_pass_are_what_their_readers_give(spark):
+    docs = json_files.parse_documents(_whole_texts(spark))
+    rows = lambda df: sorted(map(str, df.collect()))
+    apart = json_files.read_checkpoint(docs).unionByName(json_files.read_qa_list(docs))
+    assert rows(json_files.read_eval_rows(docs)) == rows(apart) and json_files.read_eval_rows(docs).schema.names == apart.schema.names
+    found = [(r.source_input, r.checkpoint_key, r.row_idx, r.question_id, r.gt_answer) for r in apart.collect()]
+    assert sorted(found, key=str) == sorted(
+        [("c", "a", 0, "Q1", "y"), ("c", "n", 2, None, "z"), ("l", None, 0, "Q2", "p"), ("l", None, 2, "Q3", None)], key=str
+    )
+    records = [tuple(r) for r in json_files.read_path_records(docs).collect()]
+    assert sorted(records, key=str) == sorted(
+        [("c", "a", "/r/2", None), ("c", "n", None, None), ("l", "Q2", "/r/3", None), ("l", "", None, None), ("l", "Q3", None, None)], key=str
+    )
