@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from gradeloom.operators import validate
-from gradeloom.plans import streaming_queries
+from gradeloom.plans import source_queries, streaming_queries
 from gradeloom.sources import json_files, sinks
 
 ROW = "source_input string, row_idx long, question string, options array<string>, gt_answer string, rgb_path string, thermal_path string"
@@ -86,3 +86,17 @@ def test_both_shapes_in_one_pass_are_what_their_readers_give(spark):
     assert sorted(records, key=str) == sorted(
         [("c", "a", "/r/2", None), ("c", "n", None, None), ("l", "Q2", "/r/3", None), ("l", "", None, None), ("l", "Q3", None, None)], key=str
     )
+
+
+def test_result_documents_are_written_compressed_and_found_with_plain_ones(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("/sets/a.json", "a.json", [("i", 1.5)]), ("/sets/b.json", "b.json", [])], "path string, name string, results array<struct<image_id:string,s:double>>")
+    monkeypatch.setattr(source_queries, "_results_docs", lambda spark, sf_dir: docs)
+    folder = Path(source_queries._written_results(spark, "").removeprefix("file:"))
+    files = [f.name for f in folder.rglob("part-*")]
+    assert len(files) == 2 and all(f.endswith(".json.gz") for f in files)
+    (folder / "plain.JSON").write_text('{"results":[{"image_id":"p"}]}')
+    (folder / "other.txt").write_text("no document")
+    found = json_files.scan_json_files(spark, str(folder), recursive=True, glob=json_files.PACKED_GLOB)
+    items = json_files.read_review_items(json_files.parse_documents(found))
+    assert found.count() == 3 and sorted(r.image_id for r in items.collect()) == ["i", "p"]
+    assert [r.name for r in json_files.scan_json_files(spark, str(folder), recursive=True).collect()] == ["plain.JSON"]
