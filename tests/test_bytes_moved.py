@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from gradeloom.operators import validate
+from gradeloom.operators import fewshot, validate
 from gradeloom.plans import source_queries, streaming_queries
 from gradeloom.sources import json_files, sinks
 
@@ -100,3 +100,24 @@ def test_result_documents_are_written_compressed_and_found_with_plain_ones(spark
     items = json_files.read_review_items(json_files.parse_documents(found))
     assert found.count() == 3 and sorted(r.image_id for r in items.collect()) == ["i", "p"]
     assert [r.name for r in json_files.scan_json_files(spark, str(folder), recursive=True).collect()] == ["plain.JSON"]
+
+
+def test_files_behind_a_fewshot_queue_are_joined_once(spark):
+    tried = spark.sparkContext.accumulator(0)
+    rows = [("f", i, None, f"img{i}", "Q1", "What?", ["a", "b"], "a", f"/r/{i}", f"/t/{i}", (1.0, 2.0, 3.0, None)) for i in range(20)]
+    shape = (
+        "source_input string, row_idx long, checkpoint_key string, image_id string, question_id string, question string, options array<string>, "
+        "gt_answer string, rgb_path string, thermal_path string, temp_summary struct<min:double,max:double,mean:double,top3_mean:double>"
+    )
+
+    @F.udf("string")
+    def counted(i):
+        tried.add(1)
+        return "missing_files" if i % 4 == 0 else None
+
+    queue = spark.createDataFrame(rows, shape).withColumn("skip_reason", counted.asNondeterministic()("row_idx"))
+    out = fewshot.fewshot_requests(queue, 2, "qwen", "rgb_thermal")
+    assert sorted(r.row_idx for r in out.select("row_idx", "messages").collect()) == [i for i in range(20) if i % 4]
+    assert tried.value == 20
+    ranked = fewshot.icl_candidate_rank(queue, payload=("question",))
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(15)) and tried.value == 40
