@@ -61,14 +61,15 @@ def _strip(text: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(BLANKS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
+    # Only a text without tokens splits into an empty one; a condition on the text would compute all of it twice.
+    return F.array_remove(F.split(F.btrim(text, F.lit(BLANKS)), BLANK_RUN), "")
 
 
 def canonical(text: Column) -> Column:
     """The text on one line with typed placeholders, lower case, without punctuation."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_RUN, " ")
-    numbers = F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, NUMBER, "0"), UNIT_AFTER, "$11")).otherwise(t)
+    # the condition asks the text as it stands, so that its line is made once
+    numbers = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, NUMBER, "0"), UNIT_AFTER, "$11")).otherwise(t)
     named = F.regexp_replace(numbers, OPENING, "$12")
     named = F.regexp_replace(F.regexp_replace(named, MID_NAME, "$12"), MID_NAME, "$12")
     return _strip(named)

@@ -242,3 +242,15 @@ def test_stated_loss_of_the_join():
             alive = {m: q for m, q in after.items() if m >= simjoin._LEAST[n]}
         loss = dropped + (1 - p**simjoin.ROWS) ** simjoin.BANDS
         assert 0.9 * stated < loss < 1.1 * stated
+
+
+def test_every_form_of_a_text_is_computed_once(spark):
+    texts = [None, "", " \n", "...", "7", "The Big Bad Wolf ran 12 km.\n Then 5", "\x0b x \f"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    read = docs.select(*[c.alias(k) for k, c in decontam.readings(F.col("text")).items()])
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    # one stripping of marks a form, one pass over sentence openings in the template
+    assert plan.count(r"[^\p{L}\p{N}\s]+") == 3 and plan.count(decontam.OPENING) == 1
+    got = [tuple(r) for r in read.collect()]
+    assert got[:4] == [([], [], [])] * 4 and got[4] == (["0"], ["0"], ["7"]) and got[6] == (["2"], ["x"], ["x"])
+    assert got[5][0] == ["2", "2", "2", "2", "ran", "0", "1", "2", "0"] and got[5][2][-2:] == ["then", "5"]
