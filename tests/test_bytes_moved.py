@@ -121,3 +121,33 @@ def test_files_behind_a_fewshot_queue_are_joined_once(spark):
     assert tried.value == 20
     ranked = fewshot.icl_candidate_rank(queue, payload=("question",))
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(15)) and tried.value == 40
+
+
+def test_files_behind_a_dry_run_report_are_joined_once(spark, monkeypatch):
+    tried = spark.sparkContext.accumulator(0)
+    rows = [("f", i, f"img{i}", "Q1", "What?", ["a", "b"], "a", f"/r/{i}", f"/t/{i}") for i in range(20)]
+    shape = (
+        "source_input string, row_idx long, image_id string, question_id string, question string, options array<string>, "
+        "gt_answer string, rgb_path string, thermal_path string"
+    )
+
+    @F.udf("string")
+    def counted(i):
+        tried.add(1)
+        return "missing_files" if i % 4 == 0 else None
+
+    queue = spark.createDataFrame(rows, shape).withColumn("skip_reason", counted.asNondeterministic()("row_idx"))
+    monkeypatch.setattr(source_queries, "checked", lambda spark, sf_dir: queue)
+    told = source_queries.write_dry_run_report(spark, "").first()
+    assert tried.value == 20
+    assert (told["total_sampled_questions"], told["eligible_for_eval"], told["skipped_missing_files"], told["json_files_discovered"]) == (20, 15, 5, 2)
+    assert told["icl_queries_with_full_requested_shots"] == 15 and told["missing"] == ";".join(f"/r/{i} /t/{i}" for i in range(0, 20, 4))
+
+
+def test_supports_without_what_they_tell_are_the_same_rows(spark):
+    rows = [("f", i, f"img{i % 9}", "Q1", "What?", ["a", "b"], "a", f"/r/{i}", f"/t/{i}", None) for i in range(30)]
+    queue = spark.createDataFrame(rows, "source_input string, row_idx long, image_id string, question_id string, question string, options array<string>, gt_answer string, rgb_path string, thermal_path string, skip_reason string")
+    picked = lambda **kw: {r["row_idx"]: [s["row_idx"] for s in r["supports"]] for r in fewshot.icl_select_supports(queue, 3, **kw).collect()}
+    assert picked(meta=()) == picked() and len(picked()) == 30
+    one = fewshot.icl_select_supports(queue, 3, meta=()).first()["supports"][0]
+    assert one.asDict().keys() == {"source_input", "row_idx"}
