@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.plans import source_queries
 from gradeloom.plans.source_queries import _picture
 from gradeloom.sources import images
 from gradeloom.streaming import jobs
@@ -111,3 +112,25 @@ def test_a_failing_stream_keeps_its_counters(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         run.finish()
     assert jobs.observed_progress(spark, out, 9).select("processed", "left").collect() == [(3, 5)]
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / str(i % 5)).mkdir(exist_ok=True)
+        (tmp_path / str(i % 5) / f"{i}.img").write_bytes(b"x" * (1 + i % 3))
+    (tmp_path / "empty.img").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    listed = images.list_files(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert len(listed.inputFiles()) <= 9  # one a task; 400 files at 4 MB each made 13
+    assert sorted(map(tuple, listed.collect())) == sorted((str(tmp_path / str(i % 5) / f"{i}.img"), 1 + i % 3) for i in range(400))
+
+
+def test_pictures_are_spread_over_folders(spark, monkeypatch):
+    sizes = spark.createDataFrame([(i, 10 + i, 20) for i in range(300)], "image long, width long, height long")
+    monkeypatch.setattr(source_queries.adapters, "image_sizes", lambda spark, sf_dir: sizes)
+    seen, run = [], images.list_files
+    monkeypatch.setattr(source_queries.images, "list_files", lambda *a: seen.append(run(*a)) or seen[0])
+    got = {r["image"]: (r["format"], r["width"]) for r in source_queries.image_headers(spark, "").collect()}
+    assert got == {i: (None, None) if i % 11 == 0 else ("png" if i % 7 else "jpeg", 10 + i) for i in range(300)}
+    assert seen[0].select(F.regexp_extract("path", "(.*)/", 1).alias("d")).groupBy("d").count().agg(F.max("count")).first()[0] == 2
