@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from gradeloom.operators import fewshot, validate
-from gradeloom.plans import source_queries, streaming_queries
+from gradeloom.plans import fewshot_queries, source_queries, streaming_queries
 from gradeloom.sources import json_files, sinks
 
 ROW = "source_input string, row_idx long, question string, options array<string>, gt_answer string, rgb_path string, thermal_path string"
@@ -151,3 +151,20 @@ def test_supports_without_what_they_tell_are_the_same_rows(spark):
     assert picked(meta=()) == picked() and len(picked()) == 30
     one = fewshot.icl_select_supports(queue, 3, meta=()).first()["supports"][0]
     assert one.asDict().keys() == {"source_input", "row_idx"}
+
+
+def test_counted_supports_tell_their_row_key_alone(spark, monkeypatch):
+    rows = [("f", i, f"img{i}", "Q1", "What?" if i < 5 else "Alone?", ["a", "b"], "a", f"/r/{i}", f"/t/{i}", None) for i in range(6)]
+    queue = spark.createDataFrame(rows, "source_input string, row_idx long, image_id string, question_id string, question string, options array<string>, gt_answer string, rgb_path string, thermal_path string, skip_reason string")
+    told, select = [], fewshot.icl_select_supports
+
+    def selected(*args, **kw):
+        found = select(*args, **kw)
+        told.append(found.schema["supports"].dataType.elementType.names)
+        return found
+
+    monkeypatch.setattr(fewshot, "icl_select_supports", selected)
+    monkeypatch.setattr(fewshot_queries, "checked", lambda spark, sf_dir: queue)
+    assert sorted(map(tuple, fewshot_queries.icl_require_full(spark, "").collect())) == [("f", i, 2) for i in range(5)]
+    assert tuple(fewshot_queries.icl_support_stats(spark, "").first()) == (6, 5, 1, 10, 1.666667, 1)
+    assert told == [["source_input", "row_idx"]] * 2
