@@ -17,9 +17,9 @@ FILES_PER_BATCH = 4
 LINES_PER_FILE = 4_000_000
 
 
-def _written(spark, df, label):
+def _written(spark, df, label, compression="none"):
     path = scratch_path(spark, label)
-    df.write.option("maxRecordsPerFile", LINES_PER_FILE).json(path)
+    df.write.option("maxRecordsPerFile", LINES_PER_FILE).option("compression", compression).json(path)
     return path
 
 
@@ -105,12 +105,14 @@ def progress_metrics(spark, sf_dir):
 )
 def observed_progress(spark, sf_dir):
     """Counters that the batches observed while they wrote; ``fell`` says that what is left fell with every batch."""
-    queue = validate.join_file_inventory(adapters.preds_raw(spark, sf_dir), adapters.files(spark, sf_dir), "rgb_thermal")
-    scored = scoring.score_predictions(queue).select(jobs.OUTCOME.names).repartition(12, "row_idx")
-    stream = jobs.read_action_stream(spark, _written(spark, scored, "outcomes"), jobs.OUTCOME, FILES_PER_BATCH)
+    # scored first: answers need not move to meet the files; the join keeps every row, so what is expected is counted without it
+    rows = scoring.score_predictions(adapters.preds_raw(spark, sf_dir))
+    queue = validate.join_file_inventory(rows, adapters.files(spark, sf_dir), "rgb_thermal")
+    outcomes = queue.select(jobs.OUTCOME.names).repartition(12, "row_idx")
+    stream = jobs.read_action_stream(spark, _written(spark, outcomes, "outcomes", "gzip"), jobs.OUTCOME, FILES_PER_BATCH)
     out, checkpoint = _places(spark, "observed")
     jobs.stream_progress(stream, out, checkpoint).finish()
-    batches = jobs.observed_progress(spark, out, queue.count())
+    batches = jobs.observed_progress(spark, out, rows.count())
     return batches.agg(
         *[F.sum(c).alias(c) for c in ("processed", "correct", "exceptions", "skipped")], F.min("left").alias("left_at_end"),
         ((F.count_distinct("left") == F.count(F.lit(1))) & (F.count(F.lit(1)) > 1)).alias("fell"),

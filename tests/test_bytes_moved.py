@@ -168,3 +168,25 @@ def test_counted_supports_tell_their_row_key_alone(spark, monkeypatch):
     assert sorted(map(tuple, fewshot_queries.icl_require_full(spark, "").collect())) == [("f", i, 2) for i in range(5)]
     assert tuple(fewshot_queries.icl_support_stats(spark, "").first()) == (6, 5, 1, 10, 1.666667, 1)
     assert told == [["source_input", "row_idx"]] * 2
+
+
+def test_observed_outcomes_are_packed_and_meet_the_files_once(spark, monkeypatch):
+    tried = spark.sparkContext.accumulator(0)
+    rows = [("f", i, f"img{i}", "Q1", "C", "q?", ["a", "b"], "a", f"/r/{i}", f"/t/{i}", "a" if i % 3 else "b", None) for i in range(40)]
+    preds = spark.createDataFrame(rows, "source_input string, row_idx long, image_id string, question_id string, category string, question string, options array<string>, gt_answer string, rgb_path string, thermal_path string, raw_output string, error string")
+    joined, written = streaming_queries.validate.join_file_inventory, []
+
+    @F.udf("string")
+    def counted(reason):
+        tried.add(1)
+        return reason
+
+    monkeypatch.setattr(streaming_queries.adapters, "preds_raw", lambda spark, sf_dir: preds)
+    monkeypatch.setattr(streaming_queries.adapters, "files", lambda spark, sf_dir: preds.where("row_idx < 30").selectExpr("explode(array(rgb_path, thermal_path)) as path"))
+    monkeypatch.setattr(streaming_queries.validate, "join_file_inventory", lambda *a: joined(*a).withColumn("skip_reason", counted.asNondeterministic()("skip_reason")))
+    write = streaming_queries._written
+    monkeypatch.setattr(streaming_queries, "_written", lambda *a, **k: written.append(write(*a, **k)) or written[-1])
+    told = streaming_queries.observed_progress(spark, "").first()
+    assert (told["processed"], told["correct"], told["skipped"], told["left_at_end"]) == (30, 20, 10, 0)
+    files = list(Path(written[0].removeprefix("file:")).glob("part-*"))
+    assert tried.value == 40 and files and all(f.name.endswith(".json.gz") for f in files)
