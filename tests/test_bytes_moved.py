@@ -190,3 +190,17 @@ def test_observed_outcomes_are_packed_and_meet_the_files_once(spark, monkeypatch
     assert (told["processed"], told["correct"], told["skipped"], told["left_at_end"]) == (30, 20, 10, 0)
     files = list(Path(written[0].removeprefix("file:")).glob("part-*"))
     assert tried.value == 40 and files and all(f.name.endswith(".json.gz") for f in files)
+
+
+def test_conversations_alone_ask_supports_for_nothing_else(spark):
+    rows = [("f", i, f"img{i}", "Q1", "What?", ["a", "b"], "ab"[i % 2], f"/r/{i}", f"/t/{i}", (1.0, 2.0, 3.0, None), None) for i in range(6)]
+    shape = (
+        "source_input string, row_idx long, image_id string, question_id string, question string, options array<string>, gt_answer string, "
+        "rgb_path string, thermal_path string, temp_summary struct<min:double,max:double,mean:double,top3_mean:double>, skip_reason string"
+    )
+    queue = spark.createDataFrame(rows, shape)
+    told = lambda **kw: fewshot.fewshot_requests(queue, 2, "qwen", "rgb_thermal", **kw)
+    short = told(meta=())
+    assert set(short.schema["supports"].dataType.elementType.names) == {"source_input", "row_idx", *fewshot.SOLVED, *fewshot.PAYLOAD}
+    talks = lambda df: sorted(map(str, df.select("row_idx", "messages", "all_images").collect()))
+    assert talks(short) == talks(told()) and set(fewshot.META) <= set(told().schema["supports"].dataType.elementType.names)
